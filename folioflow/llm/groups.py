@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from folioflow.functions import sqlnames
 from folioflow.functions.names import numbered_name, plain_name
 from folioflow.operators.skew import lookup_join
 from folioflow.sources.tables import current_rows, table
@@ -102,4 +103,18 @@ def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id").join(groups, "page_id", "left").select("page_id", F.coalesce("group_key", "page_id").alias("group_page_id"))
 
 
+def page_component_sql(names: dict[str, str]) -> str:
+    """CTEs of a DuckDB query: cur (current pages), comp (node, root)."""
+    links = " UNION ALL ".join(f"SELECT page_id, '{kind}|' || {sqlnames.plain('dataset')} || '|' || {name} AS link FROM cur WHERE {name} IS NOT NULL" for kind, name in names.items())
+    return f"""WITH RECURSIVE cur AS {sqlnames.current('validation', 'page_id')}, link AS ({links}),
+    edge AS (SELECT page_id AS a, link AS b FROM link UNION SELECT link, page_id FROM link),
+    reach AS (SELECT page_id AS node, page_id AS page FROM cur UNION SELECT e.b, r.page FROM reach r JOIN edge e ON e.a = r.node),
+    comp AS (SELECT node AS page_id, min(page) AS root FROM reach WHERE node IN (SELECT page_id FROM cur) GROUP BY node)"""
+
+
+_SQL = page_component_sql({"e": sqlnames.numbered("exact_duplicate_group"), "n": sqlnames.numbered("near_duplicate_group"), "s": sqlnames.plain("split_group_id")})
 QUERIES = {"p2_found": p2_found, "p2_groups": p2_groups}
+ORACLES = {
+    "p2_found": _SQL + " SELECT root AS group_page_id, page_id FROM comp WHERE root <> page_id",
+    "p2_groups": _SQL + " SELECT page_id, root AS group_page_id FROM comp",
+}
