@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("groups", "splits", "sample")
+MODULES = ("groups", "splits", "sample", "overlap")
 
 QUERIES: dict = {}
 ORACLES: dict = {}
