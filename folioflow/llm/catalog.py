@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("groups", "splits", "sample", "overlap")
+MODULES = ("groups", "splits", "sample", "overlap", "tokens")
 
 QUERIES: dict = {}
 ORACLES: dict = {}
