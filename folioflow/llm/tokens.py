@@ -10,7 +10,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from folioflow.sources.tables import table
 
@@ -131,7 +131,7 @@ def encode(documents: DataFrame, key: str, text: str, path: str) -> DataFrame:
     rank file, which has to be readable on every executor.
     """
     rows = documents.select(F.col(key), F.col(text).alias("_text"))
-    schema = documents.select(key).schema.add("ids", "array<int>")
+    schema = documents.select(key).schema.add("ids", T.ArrayType(T.IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path)
