@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("groups", "splits", "sample", "overlap", "tokens", "leaks")
+MODULES = ("groups", "splits", "sample", "overlap", "tokens", "leaks", "subjects")
 
 QUERIES: dict = {}
 ORACLES: dict = {}
