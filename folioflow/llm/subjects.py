@@ -21,6 +21,9 @@ BACKGROUND = 4
 UPDATES = 25
 #: A term belongs to the model if this share of its weight lies in one subject.
 SHARE = 0.65
+#: The same share for terms found by the corpus, and the weight that counts
+#: against them beside their own.
+CORPUS_SHARE, AGAINST = 0.8, 2.0
 #: Terms of the model, at most; those with the least weight are left out.
 TERMS = 200_000
 #: Lines, sentences or fields that make a whole block.
@@ -206,7 +209,7 @@ def corpus_update(documents: DataFrame, text: str, f: Factors) -> Factors:
     summed = part.groupBy("term").agg(*columns)
     total = sum(subjects[1:], subjects[0])
     top = F.greatest(*subjects) if k > 1 else subjects[0]
-    told = summed.where(top >= SHARE * (total + 1.0)).orderBy(F.desc(total), "term").limit(TERMS)
+    told = summed.where(top >= CORPUS_SHARE * (total + AGAINST)).orderBy(F.desc(total), "term").limit(TERMS)
     got = told.toArrow()
     terms = got.column(0).to_numpy().view(np.uint64)
     mass = np.stack([got.column(i + 1).to_numpy() for i in range(k)], axis=1).astype(float) if len(terms) else np.zeros((0, k))
