@@ -17,7 +17,7 @@ from folioflow.sources.tables import table
 LABELLED = 20_000
 #: Alternations over the whole corpus after the one over the labelled documents.
 ROUNDS = 1
-BACKGROUND = 4
+BACKGROUND = 1
 UPDATES = 25
 #: A term belongs to the model if this share of its weight lies in one subject.
 SHARE = 0.65
@@ -26,8 +26,10 @@ SHARE = 0.65
 CORPUS_SHARE, AGAINST = 0.8, 2.0
 #: Terms of the model, at most; those with the least weight are left out.
 TERMS = 200_000
-#: Lines, sentences or fields that make a whole block.
+#: Lines, sentences or fields on a subject that make a whole block: so many
+#: anywhere in the document, or two that are at most NEAR units apart.
 BLOCK = 3
+NEAR = 4
 #: Units to both sides of a unit that the corpus factorisation takes as its row.
 REACH = 2
 ROWS = 512
@@ -61,7 +63,7 @@ def _sums(index: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
 def anchored_factors(texts: list[str | None], labels: list[set[int]], subjects: list[int]) -> Factors:
     """Factorise the labelled documents by alternating multiplicative updates.
 
-    One component per subject and a few for the background; a document's
+    One component per subject and BACKGROUND for what all documents share; a document's
     mixture is anchored: it may hold its own subjects and the background, and
     multiplicative updates keep the zeros of all others.  The term factor
     starts from the sums of the documents; every document weighs the same.
@@ -108,7 +110,7 @@ def mixtures(f: Factors, texts: list[str | None], updates: int = 6) -> tuple[np.
     """(mixture, blocks, words, units): documents x subjects each, the hashed words, and the units with their subject.
 
     The mixture is folded in: multiplicative updates with the term factor kept.
-    ``blocks`` counts the units whose terms, given the mixture of the whole
+    ``blocks`` counts, where they make a whole block, the units whose terms, given the mixture of the whole
     document, speak for the subject; so a term of two subjects follows the
     subject that the rest of the document is about.
     """
@@ -136,8 +138,13 @@ def mixtures(f: Factors, texts: list[str | None], updates: int = 6) -> tuple[np.
     best = said.argmax(1)
     sure = said[np.arange(len(best)), best] > 0.5 * said.sum(1)
     count = np.zeros((n, k))
-    np.add.at(count, (rows[start][sure], best[sure]), 1)
-    return w, count, words, (units[start][sure], best[sure])
+    doc, at, what = rows[start][sure], units[start][sure], best[sure]
+    np.add.at(count, (doc, what), 1)
+    by = np.lexsort((at, what, doc))
+    close = (doc[by][1:] == doc[by][:-1]) & (what[by][1:] == what[by][:-1]) & (at[by][1:] - at[by][:-1] <= NEAR)
+    block = count >= BLOCK
+    block[doc[by][1:][close], what[by][1:][close]] = True
+    return w, np.where(block, np.maximum(count, 1), 0), words, (at, what)
 
 
 def windows(rows: np.ndarray, unit: np.ndarray, spoken: tuple, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -241,7 +248,7 @@ def fit(documents: DataFrame, labels: DataFrame, subjects: list[int], key: str,
     return f
 
 
-def subject_areas(documents: DataFrame, key: str, text: str, f: Factors, least: int = BLOCK) -> DataFrame:
+def subject_areas(documents: DataFrame, key: str, text: str, f: Factors) -> DataFrame:
     """(key, subject_id, units, share): the subjects that a document gives a whole block.
 
     A null, empty or wordless text and a document about none of the subjects
@@ -256,7 +263,7 @@ def subject_areas(documents: DataFrame, key: str, text: str, f: Factors, least:
         for whole in batches:
             for b in (whole.slice(i, ROWS) for i in range(0, whole.num_rows, ROWS)):
                 w, count, _, _ = mixtures(factors, b.column(1).to_pylist())
-                d, s = np.nonzero(count >= least)
+                d, s = np.nonzero(count)
                 share = w / np.maximum(w.sum(1, keepdims=True), 1e-12)
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).take(pa.array(d)), pa.array(factors.subjects[s].astype(np.int64)), pa.array(count[d, s].astype(np.int32)), pa.array(share[d, s])],
