@@ -14,7 +14,7 @@ from folioflow.sources.tables import table
 
 #: The factorisation starts from at most so many labelled documents (chosen by
 #: the hash of their id); the alternation over the corpus covers every document.
-LABELLED = 20_000
+LABELLED = 6_000
 #: Alternations over the whole corpus after the one over the labelled documents.
 ROUNDS = 1
 BACKGROUND = 1
@@ -47,7 +47,8 @@ class Factors:
 def _ratio_step(rows: np.ndarray, cols: np.ndarray, v: np.ndarray, w: np.ndarray, h: np.ndarray) -> np.ndarray:
     """Share of every cell's value that each component explains (cells x components)."""
     part = w[rows] * h[cols]
-    return part * (v / np.maximum(part.sum(1), 1e-12))[:, None]
+    part *= (v / np.maximum(part.sum(1), 1e-12))[:, None]
+    return part
 
 
 def _sums(index: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
