@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("nested", "drifting")
+MODULES = ("nested", "drifting", "extraction")
 
 QUERIES: dict = {}
 ORACLES: dict = {}
