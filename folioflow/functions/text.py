@@ -7,7 +7,7 @@ from difflib import SequenceMatcher
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 # --- Fixed values: patterns of the field rules -------------------------------
 EMAIL = r"(?i)\b[A-Z0-9._%+\-]+@[A-Z0-9.\-]+\.[A-Z]{2,}\b"
@@ -204,13 +204,13 @@ def truth(text: Column) -> Column:
 
 
 # --- Unicode semantics that the JVM functions lack: one narrow Arrow UDF each --
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def norm_text(s: pd.Series) -> pd.Series:
     """Compatibility form, case folded, white space collapsed."""
     return s.map(lambda t: None if t is None else " ".join(unicodedata.normalize("NFKC", t).casefold().split()))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratio of matching blocks of two texts after folding; 0 for an empty reference."""
 
@@ -223,7 +223,7 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="object").astype("Float64")
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def word_distance(a: pd.Series, b: pd.Series) -> pd.Series:
     """Edit distance of two texts as sequences of words."""
 

@@ -6,7 +6,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from folioflow.operators.components import connected_components
 from folioflow.operators.skew import lookup_join
@@ -44,7 +44,7 @@ def longest_prefix(rows: DataFrame, key: str, stems: DataFrame, stem: str, sep:
     return rows.select(key).distinct().join(hit, key, "left")
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(T.LongType())
 def simhash64(texts: pd.Series) -> pd.Series:
     """SimHash of a text's five-word shingles (of all its words where it has fewer)."""
     out = []
