@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from difflib import SequenceMatcher
 from statistics import fmean, median
 
@@ -178,6 +179,12 @@ def text_score(source: str, other: str) -> tuple[float, str]:
     return SequenceMatcher(None, source, other).ratio(), "similarity"
 
 
+def ratio_bound(a: str, b: str, counts: dict[str, Counter]) -> float:
+    """At least the ratio of matching blocks: the share of characters that both have."""
+    ca, cb = (counts.setdefault(t, Counter(t)) for t in (a, b))
+    return 2 * sum(min(n, cb[c]) for c, n in ca.items() if c in cb) / (len(a) + len(b))
+
+
 def place_score(a, b) -> float:
     """Overlap of two boxes, or their nearness relative to their size, whichever is more."""
     w, h = max(0.0, min(a[2], b[2]) - max(a[0], b[0])), max(0.0, min(a[3], b[3]) - max(a[1], b[1]))
@@ -197,12 +204,16 @@ def align(reference: DataFrame, other: DataFrame, page: str, least: float = 0.45
     def kernel(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         ra, rb = a.to_dict("records"), b.rename(columns=lambda c: c.removeprefix("other_")).to_dict("records")
         ta, tb = [plain(r["text"]) for r in ra], [plain(r["text"]) for r in rb]
-        found = []
+        found, counts = [], {}
         for i, x in enumerate(ta):
             for j, y in enumerate(tb):
                 if x and y:
+                    near = place_score([ra[i][c] for c in BOX], [rb[j][c] for c in BOX])
+                    inside = x in y or y in x
+                    if not inside and 0.7 * ratio_bound(x, y, counts) + 0.3 * near < least:
+                        continue
                     s, kind = text_score(x, y)
-                    s = 0.7 * s + 0.3 * place_score([ra[i][c] for c in BOX], [rb[j][c] for c in BOX])
+                    s = 0.7 * s + 0.3 * near
                     if s >= least:
                         found.append((s, i, j, kind))
         used_a, used_b, out = set(), set(), []
