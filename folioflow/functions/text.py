@@ -164,10 +164,15 @@ def contains_thai(text: Column) -> Column:
 
 
 def garbage(text: Column) -> Column:
-    """No letter or digit, or one character makes up more than four fifths."""
-    chars = F.split(text, "")
-    most = F.array_max(F.transform(F.array_distinct(chars), lambda c: F.size(F.filter(chars, lambda x: x == c))))
-    return ~text.rlike(r"[\p{L}\p{N}]") | (most / F.greatest(F.length(text), F.lit(1)) > 0.8)
+    """No letter or digit, or one character makes up more than four fifths.
+
+    A character that common is the middle one of the sorted characters, so
+    only that one is counted.
+    """
+    n = F.length(text)
+    middle = F.element_at(F.sort_array(F.split(text, "")), F.floor(n / 2).cast("int") + 1)
+    most = n - F.length(F.replace(text, middle, F.lit("")))
+    return ~text.rlike(r"[\p{L}\p{N}]") | ((n > 0) & (most / F.greatest(n, F.lit(1)) > 0.8))
 
 
 def turkish_letters(text: Column) -> Column:

@@ -21,26 +21,36 @@ def rule_candidates(lines: DataFrame, text: str = "text", confidence: str = "con
     amounts named by a sure keyword gain 0.06.  Null and blank lines give none.
     """
     t = F.trim(F.col(text))
-    low = F.lower(t)
-    conf = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(F.col(confidence), F.lit(0.5))))
+    keep = lines.columns
+    if_has = lambda mark, value: F.when(mark, value)  # noqa: E731  patterns run only where they can match
+    digit = t.rlike(r"\d")
+    # each pattern runs once per line: later columns refer to these
+    lines = lines.where(F.length(t) > 0).withColumns({"_t": t, "_low": F.lower(t)})
+    t, low = F.col("_t"), F.col("_low")
+    lines = lines.withColumns({
+        "_email": if_has(F.contains(t, F.lit("@")), X.found(t, X.EMAIL)), "_site": if_has(F.contains(low, F.lit("www.")) | F.contains(low, F.lit("://")), X.found(t, X.WEBSITE)),
+        "_phone": if_has(digit, F.regexp_extract(t, X.PHONE, 0)), "_date": if_has(digit, F.regexp_extract(t, X.DATE, 0)), "_time": if_has(digit & F.contains(t, F.lit(":")), F.regexp_extract(t, X.TIME, 0)),
+        "_number": if_has(F.contains(t, F.lit(":")) | F.contains(t, F.lit("#")), F.regexp_extract(t, X.NUMBER, 0)), "_money": if_has(digit, X.last_money(t)), "_label": X.after_label(t),
+        "_conf": F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(F.col(confidence), F.lit(0.5)))),
+    })
+    lines = lines.withColumn("_amount", X.money(F.col("_money")))
+    conf = F.col("_conf")
     sure = F.least(F.lit(1.0), conf + 0.06)
+    given = lambda name: F.when(F.col(name) != "", F.col(name))
 
     def one(name: str, value: Column, raw: Column, c: Column = conf) -> Column:
         return F.when(value.isNotNull(), F.struct(F.lit(name).alias("field"), value.cast("string").alias("value"), raw.alias("raw_text"), c.alias("field_confidence")))
 
     has = lambda name: X.contains_any(low, X.KEYWORDS[name])
-    site = F.regexp_replace(X.found(t, X.WEBSITE), r"[.,;)]+$", "")
-    phone = X.found(t, X.PHONE)
-    number, number_raw = X.found(t, X.NUMBER, 1), X.found(t, X.NUMBER)
-    raw_money = X.last_money(t)
-    value_money = X.money(raw_money)
-    label = X.after_label(t)
+    email, phone, number_raw, raw_money, value_money, label = F.col("_email"), given("_phone"), given("_number"), F.col("_money"), F.col("_amount"), F.col("_label")
+    site = F.regexp_replace("_site", r"[.,;)]+$", "")
+    number = F.regexp_replace(number_raw, r"^[:#]\s*", "")
     cells = [
-        one("email", X.found(t, X.EMAIL), X.found(t, X.EMAIL)),
+        one("email", email, email),
         one("website", F.when(~F.contains(site, F.lit("@")), site), site),
         one("phone_number", F.regexp_replace(phone, r"[^+\d]", ""), phone),
-        one("date", X.found(t, X.DATE), X.found(t, X.DATE)),
-        one("time", X.found(t, X.TIME), X.found(t, X.TIME)),
+        one("date", given("_date"), given("_date")),
+        one("time", given("_time"), given("_time")),
     ]
     cells += [one(f, F.when(has(f), number), number_raw) for f in NUMBER_FIELDS]
     for f in MONEY_FIELDS:
@@ -55,7 +65,7 @@ def rule_candidates(lines: DataFrame, text: str = "text", confidence: str = "con
     cells += [one(f, F.when(has(f), label), t) for f in ("address", *LABEL_FIELDS)]
     cells.append(one("currency", X.currency(t), t))
     cells.append(one("document_title", X.first_case(low, X.TITLES), t))
-    return lines.where(F.length(t) > 0).withColumn("_c", F.explode(F.array_compact(F.array(*cells)))).select(*lines.columns, "_c.*")
+    return lines.withColumn("_c", F.explode(F.array_compact(F.array(*cells)))).select(*keep, "_c.*")
 
 
 def header_organization(lines: DataFrame, by: list[str]) -> DataFrame:

@@ -13,7 +13,9 @@ from difflib import SequenceMatcher
 from statistics import fmean, median
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from folioflow.functions.geometry import convex_iou
 
@@ -25,6 +27,20 @@ HEADERS = {
     "line_total": ("line total", "amount", "total", "tutar", "toplam", "จำนวนเงิน", "รวม"),
 }
 BOX = ["x0", "y0", "x1", "y1"]
+BAND = 64.0
+
+
+def per_page(df: DataFrame, page: str, kernel, schema) -> DataFrame:
+    """``kernel`` maps a page's columns (name -> list) to result columns; Arrow in, Arrow out."""
+    spark = df.sparkSession
+    out = spark.createDataFrame([], schema).schema
+    arrow = to_arrow_schema(out)
+
+    def run(table: pa.Table) -> pa.Table:
+        result = kernel(table.to_pydict())
+        return pa.table([pa.array(result[f.name], f.type) for f in arrow], schema=arrow)
+
+    return df.groupBy(page).applyInArrow(run, out)
 
 
 def _corners(b) -> list[tuple[float, float]]:
@@ -46,23 +62,25 @@ def _greedy(pairs: list[tuple]) -> list[tuple]:
 def match_boxes(reference: DataFrame, predicted: DataFrame, page: str, least: float = 0.5) -> DataFrame:
     """(page, ref_id, pred_id, iou): one-to-one matches of boxes by overlap, best first.
 
-    Overlapping pairs come from a join on the page with the boxes' ranges as
-    condition; only these pairs reach the page kernel.
+    Overlapping pairs come from a join on the page and the BAND of pixels in
+    which the common part begins; only these pairs reach the page kernel.
     """
-    r = reference.select(page, F.col("id").alias("ref_id"), *[F.col(c).alias(f"r_{c}") for c in BOX])
-    p = predicted.select(page, F.col("id").alias("pred_id"), *[F.col(c).alias(f"p_{c}") for c in BOX])
+    bands = lambda: F.explode(F.sequence(F.floor(F.col("y0") / BAND), F.floor(F.greatest("y0", "y1") / BAND))).alias("_band")
+    r = reference.select(page, F.col("id").alias("ref_id"), *[F.col(c).alias(f"r_{c}") for c in BOX], bands())
+    p = predicted.select(page, F.col("id").alias("pred_id"), *[F.col(c).alias(f"p_{c}") for c in BOX], bands())
     w = F.least("r_x1", "p_x1") - F.greatest("r_x0", "p_x0")
     h = F.least("r_y1", "p_y1") - F.greatest("r_y0", "p_y0")
     size = lambda a: (F.col(f"{a}_x1") - F.col(f"{a}_x0")) * (F.col(f"{a}_y1") - F.col(f"{a}_y0"))
-    pairs = r.join(p, page).where((w > 0) & (h > 0)).select(page, "ref_id", "pred_id", (w * h / (size("r") + size("p") - w * h)).alias("iou")).where(F.col("iou") >= least)
+    first = F.floor(F.greatest("r_y0", "p_y0") / BAND) == F.col("_band")
+    pairs = r.join(p, [page, "_band"]).where(first & (w > 0) & (h > 0)).select(page, "ref_id", "pred_id", (w * h / (size("r") + size("p") - w * h)).alias("iou")).where(F.col("iou") >= least)
     key = pairs.schema[page].dataType.simpleString()
     types = pairs.schema["ref_id"].dataType.simpleString(), pairs.schema["pred_id"].dataType.simpleString()
 
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        best = _greedy(list(zip(pdf["iou"], pdf["ref_id"], pdf["pred_id"])))
-        return pd.DataFrame({page: pdf[page].iloc[0], "ref_id": [b[1] for b in best], "pred_id": [b[2] for b in best], "iou": [b[0] for b in best]})
+    def kernel(c: dict) -> dict:
+        best = _greedy(list(zip(c["iou"], c["ref_id"], c["pred_id"])))
+        return {page: c[page][:1] * len(best), "ref_id": [b[1] for b in best], "pred_id": [b[2] for b in best], "iou": [b[0] for b in best]}
 
-    return pairs.groupBy(page).applyInPandas(kernel, f"{page} {key}, ref_id {types[0]}, pred_id {types[1]}, iou double")
+    return per_page(pairs, page, kernel, f"{page} {key}, ref_id {types[0]}, pred_id {types[1]}, iou double")
 
 
 def suppress(words: DataFrame, page: str, least: float = 0.5) -> DataFrame:
@@ -71,8 +89,8 @@ def suppress(words: DataFrame, page: str, least: float = 0.5) -> DataFrame:
     Two words are one where they overlap by ``least`` and say the same, or
     overlap by 0.8 whatever they say.
     """
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.to_dict("records")
+    def kernel(c: dict) -> dict:
+        rows = [dict(zip(c, r)) for r in zip(*c.values())]
         said = [" ".join((r["text"] or "").casefold().split()) for r in rows]
         size = [max(0.0, r["x1"] - r["x0"]) * max(0.0, r["y1"] - r["y0"]) for r in rows]
         kept: list[int] = []
@@ -81,9 +99,9 @@ def suppress(words: DataFrame, page: str, least: float = 0.5) -> DataFrame:
             near = (k for k in kept if min(box[2], rows[k]["x1"]) > max(box[0], rows[k]["x0"]) and min(box[3], rows[k]["y1"]) > max(box[1], rows[k]["y0"]))
             if said[i] and not any((o := convex_iou(_corners(box), _corners([rows[k][c] for c in BOX]))) >= least and (said[i] == said[k] or o >= max(0.8, least)) for k in near):
                 kept.append(i)
-        return pdf.iloc[sorted(kept)]
+        return {n: [v[i] for i in sorted(kept)] for n, v in c.items()}
 
-    return words.groupBy(page).applyInPandas(kernel, words.schema)
+    return per_page(words, page, kernel, words.schema)
 
 
 def _rows_of(boxes: list[tuple], tolerance: float, order) -> list[list[int]]:
@@ -98,15 +116,15 @@ def _rows_of(boxes: list[tuple], tolerance: float, order) -> list[list[int]]:
 
 def reading_order(words: DataFrame, page: str) -> DataFrame:
     """Adds position: rows from the top, words from the left."""
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        boxes = [tuple(b) for b in pdf[BOX].to_numpy(float)]
+    def kernel(c: dict) -> dict:
+        boxes = list(zip(*(c[n] for n in BOX)))
         reach = max(2.0, 0.6 * median(max(1.0, b[3] - b[1]) for b in boxes))
         rows = _rows_of(boxes, reach, lambda b: (b[1], b[0]))
         rows.sort(key=lambda r: fmean((boxes[i][1] + boxes[i][3]) / 2 for i in r))
         place = {i: n for n, i in enumerate(i for r in rows for i in sorted(r, key=lambda i: boxes[i][0]))}
-        return pdf.assign(position=[place[i] for i in range(len(pdf))])
+        return {**c, "position": [place[i] for i in range(len(boxes))]}
 
-    return words.groupBy(page).applyInPandas(kernel, _with(words, position="integer"))
+    return per_page(words, page, kernel, _with(words, position="integer"))
 
 
 def _with(df: DataFrame, **columns: str):
@@ -120,31 +138,31 @@ def _with(df: DataFrame, **columns: str):
 
 def table_grid(cells: DataFrame, page: str) -> DataFrame:
     """Adds row_index, column_index, row_type and semantic to table cells; pages with one cell are left out."""
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = {c: [] for c in ("row_index", "column_index", "row_type", "semantic")}
-        if len(pdf) < 2:
-            return pdf.iloc[:0].assign(**out)
-        boxes = [tuple(b) for b in pdf[BOX].to_numpy(float)]
+    def kernel(c: dict) -> dict:
+        boxes = list(zip(*(c[n] for n in BOX)))
+        if len(boxes) < 2:
+            return {n: [] for n in (*c, "row_index", "column_index", "row_type", "semantic")}
         reach = max(2.0, 0.7 * median(max(1.0, b[3] - b[1]) for b in boxes))
         rows = [sorted(r, key=lambda i: boxes[i][0]) for r in _rows_of(boxes, reach, lambda b: ((b[1] + b[3]) / 2, b[0]))]
-        said = [(t or "").casefold() for t in pdf["text"]]
+        said = [(t or "").casefold() for t in c["text"]]
         header, meaning = None, {}
         for n, r in enumerate(rows[:2]):
-            found = {c: m for c, i in enumerate(r) if (m := next((k for k, ws in HEADERS.items() if any(w in said[i] for w in ws)), None))}
+            found = {k: m for k, i in enumerate(r) if (m := next((k for k, ws in HEADERS.items() if any(w in said[i] for w in ws)), None))}
             if len(found) >= 2:
                 header, meaning = n, found
                 break
-        at = {i: (n, c) for n, r in enumerate(rows) for c, i in enumerate(r)}
+        at = {i: (n, k) for n, r in enumerate(rows) for k, i in enumerate(r)}
         kind = lambda n: "unknown" if header is None or n < header else "header" if n == header else "item"
-        return pdf.assign(row_index=[at[i][0] for i in range(len(pdf))], column_index=[at[i][1] for i in range(len(pdf))], row_type=[kind(at[i][0]) for i in range(len(pdf))], semantic=[meaning.get(at[i][1], "unknown") for i in range(len(pdf))])
+        each = [at[i] for i in range(len(boxes))]
+        return {**c, "row_index": [n for n, _ in each], "column_index": [k for _, k in each], "row_type": [kind(n) for n, _ in each], "semantic": [meaning.get(k, "unknown") for _, k in each]}
 
-    return cells.groupBy(page).applyInPandas(kernel, _with(cells, row_index="integer", column_index="integer", row_type="string", semantic="string"))
+    return per_page(cells, page, kernel, _with(cells, row_index="integer", column_index="integer", row_type="string", semantic="string"))
 
 
 def line_groups(words: DataFrame, page: str) -> DataFrame:
     """(page, line_no, text, box): words joined to lines by overlap, baseline and gap."""
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        words_ = sorted(zip(pdf["y0"], pdf["x0"], pdf["text"], pdf["x1"], pdf["y1"]))
+    def kernel(c: dict) -> dict:
+        words_ = sorted(zip(c["y0"], c["x0"], c["text"], c["x1"], c["y1"]))
         lines: list[dict] = []
         for top, left, text, right, bottom in words_:
             best, score = None, float("-inf")
@@ -160,9 +178,9 @@ def line_groups(words: DataFrame, page: str) -> DataFrame:
                 best["w"].append((left, top, text))
                 best.update(x0=min(best["x0"], left), y0=min(best["y0"], top), x1=max(best["x1"], right), y1=max(best["y1"], bottom))
         lines.sort(key=lambda ln: (ln["y0"], ln["x0"]))
-        return pd.DataFrame([{page: pdf[page].iloc[0], "line_no": n, "text": " ".join(w[2] for w in sorted(ln["w"])), **{c: ln[c] for c in BOX}} for n, ln in enumerate(lines)])
+        return {page: c[page][:1] * len(lines), "line_no": list(range(len(lines))), "text": [" ".join(w[2] for w in sorted(ln["w"])) for ln in lines], **{n: [ln[n] for ln in lines] for n in BOX}}
 
-    return words.groupBy(page).applyInPandas(kernel, f"{page} {words.schema[page].dataType.simpleString()}, line_no int, text string, x0 double, y0 double, x1 double, y1 double")
+    return per_page(words, page, kernel, f"{page} {words.schema[page].dataType.simpleString()}, line_no int, text string, x0 double, y0 double, x1 double, y1 double")
 
 
 def plain(text: str | None) -> str:

@@ -15,7 +15,7 @@ def _words(spark: SparkSession, d: str) -> DataFrame:
     lines = document_lines(spark, d).where("line_no < 12").select("doc_id", "line_no", "y0", "y1", "confidence", F.posexplode(F.split("text", " ")).alias("word_no", "text"), F.col("text").alias("line"))
     lines = lines.where("text <> ''")
     # left edge: characters before the word on its line
-    before = F.length(F.array_join(F.slice(F.split("line", " "), 1, F.col("word_no")), " ")) + F.when(F.col("word_no") > 0, 1).otherwise(0)
+    before = F.length(F.expr("substring_index(line, ' ', word_no)")) + F.when(F.col("word_no") > 0, 1).otherwise(0)
     x0 = before * F.lit(8.0)
     return lines.select("doc_id", (F.col("line_no") * 1000 + F.col("word_no")).alias("id"), "text", x0.alias("x0"), "y0", (x0 + F.length("text") * 8.0).alias("x1"), "y1", "confidence")
 
