@@ -8,10 +8,10 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter
 from difflib import SequenceMatcher
 from statistics import fmean, median
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -28,6 +28,7 @@ HEADERS = {
 }
 BOX = ["x0", "y0", "x1", "y1"]
 BAND = 64.0
+ROWS = 512
 
 
 def per_page(df: DataFrame, page: str, kernel, schema) -> DataFrame:
@@ -94,9 +95,11 @@ def suppress(words: DataFrame, page: str, least: float = 0.5) -> DataFrame:
         said = [" ".join((r["text"] or "").casefold().split()) for r in rows]
         size = [max(0.0, r["x1"] - r["x0"]) * max(0.0, r["y1"] - r["y0"]) for r in rows]
         kept: list[int] = []
+        bands: dict[int, list[int]] = {}  # kept words by the bands of pixels that they touch
         for i in sorted(range(len(rows)), key=lambda i: (rows[i]["confidence"] or 0.0, size[i], (rows[i]["text"] or "").casefold()), reverse=True):
             box = [rows[i][c] for c in BOX]
-            near = (k for k in kept if min(box[2], rows[k]["x1"]) > max(box[0], rows[k]["x0"]) and min(box[3], rows[k]["y1"]) > max(box[1], rows[k]["y0"]))
+            touched = range(int(box[1] // BAND), int(box[3] // BAND) + 1)
+            near = (k for n in touched for k in bands.get(n, ()) if min(box[2], rows[k]["x1"]) > max(box[0], rows[k]["x0"]) and min(box[3], rows[k]["y1"]) > max(box[1], rows[k]["y0"]))
             if said[i] and not any((o := convex_iou(_corners(box), _corners([rows[k][c] for c in BOX]))) >= least and (said[i] == said[k] or o >= max(0.8, least)) for k in near):
                 kept.append(i)
         return {n: [v[i] for i in sorted(kept)] for n, v in c.items()}
@@ -107,10 +110,16 @@ def suppress(words: DataFrame, page: str, least: float = 0.5) -> DataFrame:
 def _rows_of(boxes: list[tuple], tolerance: float, order) -> list[list[int]]:
     """Indices clustered into rows: a box joins the first row whose mean centre is within reach."""
     rows: list[list[int]] = []
+    means: list[float] = []
     centre = [(b[1] + b[3]) / 2 for b in boxes]
     for i in sorted(range(len(boxes)), key=lambda i: order(boxes[i])):
-        home = next((r for r in rows if abs(centre[i] - fmean(centre[j] for j in r)) <= tolerance), None)
-        (rows.append([i]) if home is None else home.append(i))
+        home = next((n for n, m in enumerate(means) if abs(centre[i] - m) <= tolerance), None)
+        if home is None:
+            rows.append([i])
+            means.append(centre[i])
+        else:
+            rows[home].append(i)
+            means[home] += (centre[i] - means[home]) / len(rows[home])
     return rows
 
 
@@ -197,19 +206,56 @@ def text_score(source: str, other: str) -> tuple[float, str]:
     return SequenceMatcher(None, source, other).ratio(), "similarity"
 
 
-def ratio_bound(a: str, b: str, counts: dict[str, Counter]) -> float:
-    """At least the ratio of matching blocks: the share of characters that both have."""
-    ca, cb = (counts.setdefault(t, Counter(t)) for t in (a, b))
-    return 2 * sum(min(n, cb[c]) for c, n in ca.items() if c in cb) / (len(a) + len(b))
-
-
-def place_score(a, b) -> float:
-    """Overlap of two boxes, or their nearness relative to their size, whichever is more."""
-    w, h = max(0.0, min(a[2], b[2]) - max(a[0], b[0])), max(0.0, min(a[3], b[3]) - max(a[1], b[1]))
-    sa, sb = ((x[2] - x[0]) * (x[3] - x[1]) if x[2] > x[0] and x[3] > x[1] else 0.0 for x in (a, b))
-    iou = w * h / max(1e-6, sa + sb - w * h)
-    apart = (((a[0] + a[2]) - (b[0] + b[2])) ** 2 + ((a[1] + a[3]) - (b[1] + b[3])) ** 2) ** 0.5 / 2
-    return max(iou, max(0.0, 1 - apart / (3 * max(1.0, (sa**0.5 + sb**0.5) / 2))))
+def ratio_bounds(a: list[str], b: list[str]) -> np.ndarray:
+    """For every pair at least the ratio of matching blocks: the share of characters that both have."""
+    chars = {c: i for i, c in enumerate(sorted(set("".join(a)) | set("".join(b))))}
+
+    def counts(texts: list[str]) -> np.ndarray:
+        out = np.zeros((len(texts), len(chars)), np.int32)
+        for i, t in enumerate(texts):
+            for c in t:
+                out[i, chars[c]] += 1
+        return out
+
+    ca, cb = counts(a), counts(b)
+    na, nb = ca.sum(1), cb.sum(1)
+    return np.stack([2 * np.minimum(x, cb).sum(1) / (n + nb) for x, n in zip(ca, na)])
+
+
+def place_scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For every pair of boxes their overlap, or their nearness relative to their size, whichever is more."""
+    a, b = a[:, None, :], b[None, :, :]
+    w = np.maximum(0.0, np.minimum(a[..., 2], b[..., 2]) - np.maximum(a[..., 0], b[..., 0]))
+    h = np.maximum(0.0, np.minimum(a[..., 3], b[..., 3]) - np.maximum(a[..., 1], b[..., 1]))
+    size = lambda x: np.maximum(0.0, x[..., 2] - x[..., 0]) * np.maximum(0.0, x[..., 3] - x[..., 1])
+    sa, sb = size(a), size(b)
+    apart = np.hypot((a[..., 0] + a[..., 2]) - (b[..., 0] + b[..., 2]), (a[..., 1] + a[..., 3]) - (b[..., 1] + b[..., 3])) / 2
+    near = 1 - apart / (3 * np.maximum(1.0, (np.sqrt(sa) + np.sqrt(sb)) / 2))
+    return np.maximum(w * h / np.maximum(1e-6, sa + sb - w * h), np.maximum(0.0, near))
+
+
+def scored_pairs(ta: list[str], tb: list[str], boxes_a: np.ndarray, boxes_b: np.ndarray, least: float) -> list[tuple]:
+    """(score, i, j, kind) of all pairs that reach ``least``; texts are compared once per distinct pair, and only where they can reach it."""
+    ua, ia = np.unique(np.array(ta, object), return_inverse=True)
+    ub, ib = np.unique(np.array(tb, object), return_inverse=True)
+    out: list[tuple] = []
+    bounds = ratio_bounds(list(ua), list(ub))
+    text = np.zeros(bounds.shape)
+    kinds: dict[tuple[int, int], str] = {}
+    for start in range(0, len(ta), ROWS):  # rows in slices: memory stays small on a page of many words
+        rows = ia[start : start + ROWS]
+        place = place_scores(boxes_a[start : start + ROWS], boxes_b)
+        for k in np.unique(rows):
+            best = np.zeros(len(ub))
+            np.maximum.at(best, ib, place[rows == k].max(0))
+            for j in range(len(ub)):
+                x, y = ua[k], ub[j]
+                if (int(k), j) not in kinds and x and y and (0.7 * bounds[k, j] + 0.3 * best[j] >= least or x in y or y in x):
+                    text[k, j], kinds[int(k), j] = text_score(x, y)
+        score = 0.7 * text[rows][:, ib] + 0.3 * place
+        known = text[rows][:, ib] > 0
+        out.extend((float(score[i, j]), start + int(i), int(j), kinds[int(rows[i]), int(ib[j])]) for i, j in zip(*np.nonzero((score >= least) & known)))
+    return out
 
 
 def align(reference: DataFrame, other: DataFrame, page: str, least: float = 0.45) -> DataFrame:
@@ -221,19 +267,10 @@ def align(reference: DataFrame, other: DataFrame, page: str, least: float = 0.45
     """
     def kernel(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         ra, rb = a.to_dict("records"), b.rename(columns=lambda c: c.removeprefix("other_")).to_dict("records")
-        ta, tb = [plain(r["text"]) for r in ra], [plain(r["text"]) for r in rb]
-        found, counts = [], {}
-        for i, x in enumerate(ta):
-            for j, y in enumerate(tb):
-                if x and y:
-                    near = place_score([ra[i][c] for c in BOX], [rb[j][c] for c in BOX])
-                    inside = x in y or y in x
-                    if not inside and 0.7 * ratio_bound(x, y, counts) + 0.3 * near < least:
-                        continue
-                    s, kind = text_score(x, y)
-                    s = 0.7 * s + 0.3 * near
-                    if s >= least:
-                        found.append((s, i, j, kind))
+        if not ra or not rb:
+            return pd.DataFrame([], columns=[page, "ref_id", "other_id", "score", "kind"])
+        box = lambda rs: np.array([[r[c] for c in BOX] for r in rs], float)
+        found = scored_pairs([plain(r["text"]) for r in ra], [plain(r["text"]) for r in rb], box(ra), box(rb), least)
         used_a, used_b, out = set(), set(), []
         for s, i, j, kind in sorted(found, reverse=True):
             if "contains" in kind or (i not in used_a and j not in used_b):

@@ -10,8 +10,8 @@ from folioflow.sources.tables import current_rows, table
 
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Neighbouring documents of a source by id: the first 200 characters of their second lines."""
-    line = F.substring(F.coalesce(F.try_element_at(F.split("text", "\n"), F.lit(2)), F.lit("")), 1, 200)
+    """Neighbouring documents of a source by id: their second lines."""
+    line = F.coalesce(F.try_element_at(F.split("text", "\n"), F.lit(2)), F.lit(""))
     docs = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", "source", line.alias("line"))
     return docs.withColumn("previous", F.lag("line").over(W.partitionBy("source").orderBy("doc_id"))).where("previous IS NOT NULL")
 
@@ -35,7 +35,7 @@ def multiset_f1(spark, d):
     """Words of eval items against words of documents of the same language, per language."""
     items, docs = table(spark, d, "eval_items"), table(spark, d, "documents")
     a = items.where("lang IS NOT NULL").select("lang", F.explode(tokens(F.replace(F.col("text"), F.lit("İ"), F.lit("i")))).alias("w"))
-    b = docs.where("lang IN ('de', 'en', 'th', 'tr') AND doc_id % 50 = 0").select("lang", F.explode(tokens(F.replace(F.col("text"), F.lit("İ"), F.lit("i")))).alias("w"))
+    b = docs.where("lang IS NOT NULL").select("lang", F.explode(tokens(F.replace(F.col("text"), F.lit("İ"), F.lit("i")))).alias("w"))
     return M.multiset_match(a, b, ["lang"], "w")
 
 
@@ -139,13 +139,13 @@ QUERIES = {f.__name__: f for f in (
     cer_pairs, cer_by_source, word_errors, multiset_f1, ece_brier, threshold_sweep, abstention_f1, label_confusion, clustering_report, cluster_mapping, class_weights, angle_metrics, angle_zones, weighted_median,
     selection_scores, acceptance_gates, report_regressions, simplest_configuration, angle_retention,
 )}
-_PAIRS = """d AS (SELECT doc_id, source, substr(coalesce(string_split(text, chr(10))[2], ''), 1, 200) AS line FROM documents WHERE text IS NOT NULL), p AS (SELECT *, lag(line) OVER (PARTITION BY source ORDER BY doc_id) AS previous FROM d), q AS (SELECT * FROM p WHERE previous IS NOT NULL)"""
+_PAIRS = """d AS (SELECT doc_id, source, coalesce(string_split(text, chr(10))[2], '') AS line FROM documents WHERE text IS NOT NULL), p AS (SELECT *, lag(line) OVER (PARTITION BY source ORDER BY doc_id) AS previous FROM d), q AS (SELECT * FROM p WHERE previous IS NOT NULL)"""
 _S = """s AS (SELECT event_id, event_id % 4 AS label, CASE WHEN event_id % 11 < 8 THEN event_id % 4 ELSE (event_id * 7) % 4 END AS prediction, (event_id % 1009) / 1009.0::DOUBLE AS confidence FROM events)"""
 _ERR = "least(abs((value % 360 + 360) % 360 - event_id % 360), 360 - abs((value % 360 + 360) % 360 - event_id % 360))"
 _R = """r AS (SELECT report_id, metrics.entity_f1 AS entity_f1, metrics.relation_f1 AS relation_f1, metrics.canonical_field_accuracy AS ca, metrics.document_type_accuracy AS cov, 0.1 / metrics.processing_time_per_page_seconds AS eff FROM (SELECT *, row_number() OVER (PARTITION BY report_id ORDER BY recorded_at DESC, ingested_at DESC) AS i FROM locked_test_end_to_end_metrics) WHERE i = 1)"""
 _C = "greatest(0.0, least(1.0, coalesce({}, 0.0)))"
 ORACLES = {
-    "multiset_f1": r"""WITH a AS (SELECT lang, unnest(regexp_extract_all(lower(replace(text, 'İ', 'i')), '[\p{L}\p{N}_]+')) AS w FROM eval_items WHERE lang IS NOT NULL), b AS (SELECT lang, unnest(regexp_extract_all(lower(replace(text, 'İ', 'i')), '[\p{L}\p{N}_]+')) AS w FROM documents WHERE lang IN ('de', 'en', 'th', 'tr') AND doc_id % 50 = 0),
+    "multiset_f1": r"""WITH a AS (SELECT lang, unnest(regexp_extract_all(lower(replace(text, 'İ', 'i')), '[\p{L}\p{N}_]+')) AS w FROM eval_items WHERE lang IS NOT NULL), b AS (SELECT lang, unnest(regexp_extract_all(lower(replace(text, 'İ', 'i')), '[\p{L}\p{N}_]+')) AS w FROM documents WHERE lang IS NOT NULL),
         l AS (SELECT lang, w, count(*) AS n FROM a GROUP BY 1, 2), r AS (SELECT lang, w, count(*) AS n FROM b GROUP BY 1, 2), j AS (SELECT coalesce(l.lang, r.lang) AS lang, coalesce(l.n, 0) AS nl, coalesce(r.n, 0) AS nr FROM l FULL JOIN r ON l.lang = r.lang AND l.w = r.w),
         g AS (SELECT lang, sum(least(nl, nr))::BIGINT AS tp, sum(nl)::BIGINT AS expected, sum(nr)::BIGINT AS predicted FROM j GROUP BY 1)
         SELECT *, CASE WHEN predicted > 0 THEN tp / predicted::DOUBLE ELSE 0 END AS precision, CASE WHEN expected > 0 THEN tp / expected::DOUBLE ELSE 0 END AS recall, CASE WHEN expected + predicted > 0 THEN 2 * tp / (expected + predicted)::DOUBLE ELSE 0 END AS f1 FROM g""",

@@ -45,7 +45,7 @@ def document_languages(spark: SparkSession, d: str) -> DataFrame:
 
 def document_rule_counts(spark: SparkSession, d: str) -> DataFrame:
     """How many lines of the documents give evidence for each field."""
-    return E.rule_candidates(document_lines(spark, d).select("doc_id", "line_no", "text", "confidence")).where(F.col("field").isin("email", "currency", "document_title", "payment_method", "date", "time")).groupBy("field").agg(F.count(F.lit(1)).alias("lines"), F.count_distinct("doc_id").alias("documents"))
+    return E.rule_candidates(document_lines(spark, d).select("doc_id", "line_no", "text", "confidence")).groupBy("field").agg(F.count(F.lit(1)).alias("lines"), F.count_distinct("doc_id").alias("documents"))
 
 
 def bio_runs(spark: SparkSession, d: str) -> DataFrame:
@@ -65,7 +65,7 @@ def _two_sources(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     e = table(spark, d, "events").withColumn("at", F.struct("ts", "event_id"))
     text, conf = F.round("value", 0).cast("bigint").cast("string"), (F.col("event_id") % 97) / F.lit(97.0)
     side = lambda pick: e.groupBy("user_id", "event_type").agg(pick(F.struct(text.alias("value"), conf.alias("confidence")), "at").alias("s")).select("user_id", "event_type", "s.*")
-    return side(F.min_by).where("user_id % 5 > 0"), side(F.max_by).where("user_id % 7 > 0")
+    return side(F.min_by).where("event_type <> 'click'"), side(F.max_by).where("event_type <> 'view'")
 
 
 def field_fusion(spark: SparkSession, d: str) -> DataFrame:
@@ -85,7 +85,7 @@ def doc_type_merge(spark: SparkSession, d: str) -> DataFrame:
 
 def money_normalize(spark: SparkSession, d: str) -> DataFrame:
     """The last amount of every document line, by both readings of the comma."""
-    lines = document_lines(spark, d).select("doc_id", "line_no", X.last_money(F.col("text")).alias("raw")).where("raw IS NOT NULL AND length(raw) < 18 AND raw RLIKE '^[-+]?[0-9.,]+$'")
+    lines = document_lines(spark, d).select("doc_id", "line_no", X.last_money(F.col("text")).alias("raw")).where("raw IS NOT NULL")
     return lines.select("doc_id", "line_no", "raw", X.money(F.col("raw")).cast("double").alias("rule_amount"), X.loose_decimal(F.col("raw")).cast("double").alias("loose_amount"), X.decimal_mark(F.col("raw")).alias("mark"))
 
 
@@ -118,7 +118,7 @@ _KV = rf"""{INVOICE_SQL}, p AS (SELECT *, trim(regexp_extract(text, '^([^:]*):',
   ent AS (SELECT doc_id, 1 AS page_number, line_no, 'generic_entity_' || substr(sha256('1|' || line_no || '|KEY|' || k), 1, 16) AS entity_id, 'KEY' AS label, k AS entity_text, 0.0 AS ex0, y0 AS ey0, cut AS ex1, y1 AS ey1, c AS entity_confidence FROM q
     UNION ALL SELECT doc_id, 1, line_no, 'generic_entity_' || substr(sha256('1|' || line_no || '|VALUE|' || v), 1, 16), 'VALUE', v, cut, y0, x1, y1, c FROM q)"""
 _SIDES = """e AS (SELECT user_id, event_type, CAST(CAST(round(value, 0) AS BIGINT) AS VARCHAR) AS value, (event_id % 97) / 97.0::DOUBLE AS confidence, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS a, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS b FROM events),
-  l AS (SELECT user_id, event_type, value, confidence FROM e WHERE a = 1 AND user_id % 5 > 0), r AS (SELECT user_id, event_type, value, confidence FROM e WHERE b = 1 AND user_id % 7 > 0)"""
+  l AS (SELECT user_id, event_type, value, confidence FROM e WHERE a = 1 AND event_type <> 'click'), r AS (SELECT user_id, event_type, value, confidence FROM e WHERE b = 1 AND event_type <> 'view')"""
 QUERIES = {
     "rule_fields_best": rule_fields_best, "rule_field_conflicts": rule_field_conflicts, "total_consistency": total_consistency, "kv_entities": kv_entities, "kv_relations": kv_relations,
     "document_languages": document_languages, "document_rule_counts": document_rule_counts, "bio_runs": bio_runs, "bio_tags": bio_tags, "field_fusion": field_fusion, "document_fusion": document_fusion,

@@ -11,32 +11,35 @@ from folioflow.sources.tables import table
 
 
 def _words(spark: SparkSession, d: str) -> DataFrame:
-    """Words of each document's first lines with boxes (8 x 16 pixels a character)."""
-    lines = document_lines(spark, d).where("line_no < 12").select("doc_id", "line_no", "y0", "y1", "confidence", F.posexplode(F.split("text", " ")).alias("word_no", "text"), F.col("text").alias("line"))
+    """Words of each document with boxes (8 x 16 pixels a character)."""
+    lines = document_lines(spark, d).select("doc_id", "line_no", "y0", "y1", "confidence", F.posexplode(F.split("text", " ")).alias("word_no", "text"), F.col("text").alias("line"))
     lines = lines.where("text <> ''")
     # left edge: characters before the word on its line
     before = F.length(F.expr("substring_index(line, ' ', word_no)")) + F.when(F.col("word_no") > 0, 1).otherwise(0)
     x0 = before * F.lit(8.0)
-    return lines.select("doc_id", (F.col("line_no") * 1000 + F.col("word_no")).alias("id"), "text", x0.alias("x0"), "y0", (x0 + F.length("text") * 8.0).alias("x1"), "y1", "confidence")
+    return lines.select("doc_id", (F.col("line_no").cast("bigint") * 1_000_000 + F.col("word_no")).alias("id"), "text", x0.alias("x0"), "y0", (x0 + F.length("text") * 8.0).alias("x1"), "y1", "confidence")
 
 
 def _shifted(words: DataFrame) -> DataFrame:
-    """The same words as another reader might place them."""
-    return words.where("id % 7 > 0").select("doc_id", "id", "text", *[(F.col(c) + (F.col("id") % 5)).alias(c) for c in M.BOX], "confidence")
+    """The same words as another reader might place them, who misses words without letters or digits."""
+    return words.where(F.col("text").rlike(r"[\p{L}\p{N}]")).select("doc_id", "id", "text", *[(F.col(c) + (F.col("id") % 5)).alias(c) for c in M.BOX], "confidence")
 
 
 def rotate_geometry(spark, d):
     """Line boxes through a turn by a document's angle and back."""
-    lines = document_lines(spark, d).where("line_no < 5").select("doc_id", "line_no", F.array("x0", "y0", "x1", "y1").alias("box"), (F.col("doc_id") % 360).cast("double").alias("angle"))
+    lines = document_lines(spark, d).select("doc_id", "line_no", F.array("x0", "y0", "x1", "y1").alias("box"), (F.col("doc_id") % 360).cast("double").alias("angle"))
     t = lines.withColumn("t", G.rotation(F.lit(1000), F.lit(1400), F.col("angle"))).withColumn("turned", G.apply(F.col("t.forward"), G.box_polygon(F.col("box"))))
     b, back = G.polygon_box(F.col("turned")), G.polygon_box(G.apply(F.col("t.inverse"), F.col("turned")))
     return t.select("doc_id", "line_no", F.col("t.width").alias("width"), F.col("t.height").alias("height"), *[F.round(b[i], 6).alias(n) for i, n in enumerate(("rx0", "ry0", "rx1", "ry1"))], F.round(G.area(F.col("turned")), 4).alias("area"), (F.round(back[2], 4) == F.round(F.col("box")[2], 4)).alias("returns"))
 
 
 def box_thousandths(spark, d):
-    lines = document_lines(spark, d).where("line_no < 60 AND length(text) < 120").select("doc_id", "line_no", F.array("x0", "y0", "x1", "y1").alias("box"))
-    t = G.to_thousand(F.col("box"), F.lit(1000.0), F.lit(1400.0))
-    return lines.select("doc_id", "line_no", *[t[i].alias(n) for i, n in enumerate(("tx0", "ty0", "tx1", "ty1"))])
+    """Line boxes in thousandths of a page that just holds them."""
+    lines = document_lines(spark, d)
+    page = lines.groupBy("doc_id").agg(F.max("x1").alias("w"), F.max("y1").alias("h"))
+    boxes = lines.join(page, "doc_id").select("doc_id", "line_no", F.array("x0", "y0", "x1", "y1").alias("box"), "w", "h")
+    t = G.to_thousand(F.col("box"), F.col("w"), F.col("h"))
+    return boxes.select("doc_id", "line_no", *[t[i].alias(n) for i, n in enumerate(("tx0", "ty0", "tx1", "ty1"))])
 
 
 def page_tiles(spark, d):
@@ -51,7 +54,7 @@ def iou_match(spark, d):
 
 def nms_merge(spark, d):
     w = _words(spark, d)
-    s = _shifted(w).withColumn("id", F.col("id") + 500)
+    s = _shifted(w).withColumn("id", F.col("id") + 500_000)
     return M.suppress(w.unionByName(s), "doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("kept"), F.min("id").alias("first_id"))
 
 
@@ -101,12 +104,13 @@ def vector_entropy(spark, d):
 
 QUERIES = {f.__name__: f for f in (rotate_geometry, box_thousandths, page_tiles, iou_match, nms_merge, reading_order, line_groups, table_grid, align_tokens, centroid_margin, kmeans_zones, window_average, vector_entropy)}
 ORACLES = {
-    "rotate_geometry": f"""WITH {DOCUMENT_SQL}, l AS (SELECT doc_id, line_no, x1, y0, y1, cos(radians(doc_id % 360)) AS c, sin(radians(doc_id % 360)) AS s FROM lines WHERE line_no < 5),
+    "rotate_geometry": f"""WITH {DOCUMENT_SQL}, l AS (SELECT doc_id, line_no, x1, y0, y1, cos(radians(doc_id % 360)) AS c, sin(radians(doc_id % 360)) AS s FROM lines),
         e AS (SELECT *, (abs(c) * 1000 + abs(s) * 1400) / 2 AS ex, (abs(s) * 1000 + abs(c) * 1400) / 2 AS ey FROM l), t AS (SELECT *, ex - (c * 1000 + s * 1400) / 2 AS tx, ey - (-s * 1000 + c * 1400) / 2 AS ty FROM e),
         p AS (SELECT *, s * y0 + tx AS xa, c * x1 + s * y0 + tx AS xb, c * x1 + s * y1 + tx AS xc, s * y1 + tx AS xd, c * y0 + ty AS ya, -s * x1 + c * y0 + ty AS yb, -s * x1 + c * y1 + ty AS yc, c * y1 + ty AS yd FROM t)
         SELECT doc_id, line_no, greatest(1, ceil(2 * ex - 1e-9))::INTEGER AS width, greatest(1, ceil(2 * ey - 1e-9))::INTEGER AS height, round(least(xa, xb, xc, xd), 6) AS rx0, round(least(ya, yb, yc, yd), 6) AS ry0, round(greatest(xa, xb, xc, xd), 6) AS rx1, round(greatest(ya, yb, yc, yd), 6) AS ry1,
         round(x1 * (y1 - y0), 4) AS area, true AS returns FROM p""",
-    "box_thousandths": f"""WITH {DOCUMENT_SQL}, b AS (SELECT * FROM lines WHERE line_no < 60 AND length(text) < 120) SELECT doc_id, line_no, 0 AS tx0, round_even(y0 * 1000 / 1400.0::DOUBLE, 0)::INTEGER AS ty0, round_even(x1, 0)::INTEGER AS tx1, round_even(y1 * 1000 / 1400.0::DOUBLE, 0)::INTEGER AS ty1 FROM b""",
+    "box_thousandths": f"""WITH {DOCUMENT_SQL}, b AS (SELECT *, max(x1) OVER (PARTITION BY doc_id) AS w, max(y1) OVER (PARTITION BY doc_id) AS h FROM lines)
+        SELECT doc_id, line_no, 0 AS tx0, round_even(y0 * 1000 / h, 0)::INTEGER AS ty0, round_even(x1 * 1000 / w, 0)::INTEGER AS tx1, round_even(y1 * 1000 / h, 0)::INTEGER AS ty1 FROM b""",
     "page_tiles": """WITH p AS (SELECT p_partkey, p_size * 37 + 200 AS w, p_size * 53 + 300 AS h FROM part), b AS (SELECT *, ceil(w / 2.0::DOUBLE) AS bw, ceil(h / 2.0::DOUBLE) AS bh FROM p), o AS (SELECT *, round_even(bw * 0.15::DOUBLE, 0) AS ox, round_even(bh * 0.15::DOUBLE, 0) AS oy FROM b), k AS (SELECT unnest([0, 0, 1, 1]) AS r, unnest([0, 1, 0, 1]) AS c)
         SELECT p_partkey, r * 2 + c AS tile, r AS tile_row, c AS tile_column, greatest(0, bw * c - CASE WHEN c > 0 THEN ox ELSE 0 END)::BIGINT AS x0, greatest(0, bh * r - CASE WHEN r > 0 THEN oy ELSE 0 END)::BIGINT AS y0, least(w, least(w, bw * (c + 1)) + CASE WHEN c < 1 THEN ox ELSE 0 END)::BIGINT AS x1, least(h, least(h, bh * (r + 1)) + CASE WHEN r < 1 THEN oy ELSE 0 END)::BIGINT AS y1 FROM o, k""",
     "window_average": """WITH e AS (SELECT label, vec_id, unnest([0, 1, 2, 3]) AS i, unnest(embedding[1:4]) AS x FROM embeddings) SELECT label, vec_id // 10 AS word, i, round(avg(x::DOUBLE), 6) AS mean FROM e GROUP BY 1, 2, 3""",
