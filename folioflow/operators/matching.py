@@ -102,6 +102,8 @@ def suppress(words: DataFrame, page: str, least: float = 0.5) -> DataFrame:
             near = (k for n in touched for k in bands.get(n, ()) if min(box[2], rows[k]["x1"]) > max(box[0], rows[k]["x0"]) and min(box[3], rows[k]["y1"]) > max(box[1], rows[k]["y0"]))
             if said[i] and not any((o := convex_iou(_corners(box), _corners([rows[k][c] for c in BOX]))) >= least and (said[i] == said[k] or o >= max(0.8, least)) for k in near):
                 kept.append(i)
+                for n in touched:
+                    bands.setdefault(n, []).append(i)
         return {n: [v[i] for i in sorted(kept)] for n, v in c.items()}
 
     return per_page(words, page, kernel, words.schema)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from folioflow.functions.ids import stable_id
 from folioflow.operators.extract import runs
@@ -17,9 +17,9 @@ QUESTIONS = (
     (("store name", "merchant", "company"), "organization_name"), (("invoice number",), "invoice_number"), (("receipt number", "transaction number"), "receipt_number"), (("reference number", "account number"), "reference_number"),
     (("due date", " date", "date?"), "date"), (("subtotal",), "subtotal"), (("tax", "vat"), "tax"), (("total", "amount due"), "total_amount"), (("address",), "address"), (("email",), "email"), (("phone", "telephone"), "phone_number"),
 )
-FORM = T.StructType.fromDDL("form array<struct<id:int,label:string,text:string,box:array<double>,words:array<struct<text:string,box:array<double>>>,linking:array<array<int>>>>")
-GRID = T.StructType.fromDDL("words array<string>, bboxes array<array<double>>, ner_tags array<int>")
-QA = T.ArrayType(T.StructType.fromDDL("question string, answer string"))
+FORM = "form array<struct<id:int,label:string,text:string,box:array<double>,words:array<struct<text:string,box:array<double>>>,linking:array<array<int>>>>"
+GRID = "words array<string>, bboxes array<array<double>>, ner_tags array<int>"
+QA = "array<struct<question:string,answer:string>>"
 
 
 def _valid(box: Column) -> Column:

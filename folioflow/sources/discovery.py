@@ -6,7 +6,8 @@ import copy
 from collections.abc import Mapping
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 
 def settings(defaults: Mapping, *patches: Mapping) -> dict:
@@ -66,9 +67,6 @@ def newest(files: DataFrame, n: int = 250) -> DataFrame:
 
 def decode_source(content: Column) -> Column:
     """UTF-8 text without a byte order mark; windows-1252 where it isn't UTF-8."""
-    import pandas as pd
-    from pyspark.sql import types as T
-
     @F.pandas_udf(T.StringType())
     def western(s: pd.Series) -> pd.Series:
         return s.map(lambda b: None if b is None else bytes(b).decode("cp1252", "replace"))

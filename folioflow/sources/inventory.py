@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -111,7 +112,7 @@ def rows_from_files(files: DataFrame, dataset: Column, root: str) -> DataFrame:
     A JSON file that doesn't parse and a CSV, XML or text file that isn't UTF-8
     get a note; empty files are unreadable.  Pixel checks are not made here.
     """
-    rel = F.regexp_replace(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), "^.*?" + root.strip("/") + "/", "")
+    rel = F.regexp_replace("path", "^.*?" + re.escape(root.strip("/")) + "/", "")
     f = files.select("modificationTime", "length", "content", rel.alias("rel"), dataset.alias("dataset")).withColumn("ext", extension(F.col("rel")))
     text = F.decode("content", "utf-8")
     utf8 = F.is_valid_utf8(F.col("content").cast("string"))
@@ -135,8 +136,26 @@ def rows_from_files(files: DataFrame, dataset: Column, root: str) -> DataFrame:
     )
 
 
+def empty_files(spark: SparkSession, root: str) -> DataFrame:
+    """Files without a byte, which the binary-file source passes over, in its columns.
+
+    Listing a tree is a task of the driver in any case; only the empty files'
+    names are kept.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(root)
+    listed = path.getFileSystem(conf).listFiles(path, True)
+    rows = []
+    while listed.hasNext():
+        f = listed.next()
+        if f.getLen() == 0:
+            rows.append((f.getPath().toString(), f.getModificationTime()))
+    made = spark.createDataFrame(rows, "path string, ms bigint")
+    return made.select("path", F.timestamp_millis("ms").alias("modificationTime"), F.lit(0).cast("bigint").alias("length"), F.lit("").cast("binary").alias("content"))
+
+
 def inventory(spark: SparkSession, root: str, dataset: str) -> DataFrame:
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).unionByName(empty_files(spark, root))
     return rows_from_files(files, F.lit(dataset), root.removeprefix("file://"))
 
 
