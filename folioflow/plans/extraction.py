@@ -113,9 +113,9 @@ _CAND = rf"""{INVOICE_SQL}, up AS (SELECT *, lower(text) AS low FROM lines),
     UNION ALL SELECT doc_id, line_no, 'organization_name', text, text, confidence * 0.75 FROM up WHERE line_no = 0),
   best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, field ORDER BY confidence DESC, line_no) AS r, count(*) OVER (PARTITION BY doc_id, field) AS n, min(value) OVER (PARTITION BY doc_id, field) <> max(value) OVER (PARTITION BY doc_id, field) AS conflict
     FROM cand WHERE value <> '')"""
-_KV = rf"""{INVOICE_SQL}, p AS (SELECT *, trim(regexp_extract(text, '^([^:]*):', 1)) AS k, trim(regexp_extract(text, '^[^:]*:(.*)$', 1)) AS v, 8.0 * length(text) AS x1, 20.0 * line_no AS y0, 20.0 * line_no + 16 AS y1 FROM lines),
+_KV = rf"""{INVOICE_SQL}, p AS (SELECT *, trim(regexp_extract(text, '^([^:]*):', 1)) AS k, trim(regexp_extract(text, '^[^:]*:(.*)$', 1)) AS v, (8 * length(text))::DOUBLE AS x1, (20 * line_no)::DOUBLE AS y0, (20 * line_no + 16)::DOUBLE AS y1 FROM lines),
   q AS (SELECT *, x1 * least(0.8, greatest(0.2, length(k) / greatest(length(text), 1))) AS cut, least(1.0, confidence * 0.8) AS c FROM p WHERE k <> '' AND v <> ''),
-  ent AS (SELECT doc_id, 1 AS page_number, line_no, 'generic_entity_' || substr(sha256('1|' || line_no || '|KEY|' || k), 1, 16) AS entity_id, 'KEY' AS label, k AS entity_text, 0.0 AS ex0, y0 AS ey0, cut AS ex1, y1 AS ey1, c AS entity_confidence FROM q
+  ent AS (SELECT doc_id, 1 AS page_number, line_no, 'generic_entity_' || substr(sha256('1|' || line_no || '|KEY|' || k), 1, 16) AS entity_id, 'KEY' AS label, k AS entity_text, 0.0::DOUBLE AS ex0, y0 AS ey0, cut AS ex1, y1 AS ey1, c AS entity_confidence FROM q
     UNION ALL SELECT doc_id, 1, line_no, 'generic_entity_' || substr(sha256('1|' || line_no || '|VALUE|' || v), 1, 16), 'VALUE', v, cut, y0, x1, y1, c FROM q)"""
 _SIDES = """e AS (SELECT user_id, event_type, CAST(CAST(round(value, 0) AS BIGINT) AS VARCHAR) AS value, (event_id % 97) / 97.0::DOUBLE AS confidence, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS a, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS b FROM events),
   l AS (SELECT user_id, event_type, value, confidence FROM e WHERE a = 1 AND event_type <> 'click'), r AS (SELECT user_id, event_type, value, confidence FROM e WHERE b = 1 AND event_type <> 'view')"""

@@ -59,4 +59,4 @@ INVOICE_SQL = f"""items AS (
     UNION ALL SELECT doc_id, 7, 'Customer: ' || c_name FROM o),
   lines AS (SELECT doc_id, line_no, text, {CONFIDENCE_SQL} AS confidence FROM raw)"""
 DOCUMENT_SQL = rf"""raw AS (SELECT doc_id, unnest(generate_series(0, len(parts) - 1)) AS line_no, unnest(parts) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL)),
-  lines AS (SELECT doc_id, line_no, text, {CONFIDENCE_SQL} AS confidence, 8.0 * length(text) AS x1, 20.0 * line_no AS y0, 20.0 * line_no + 16 AS y1 FROM raw WHERE regexp_replace(text, '[\t\n\x0b\f\r ]+', '', 'g') <> '')"""
+  lines AS (SELECT doc_id, line_no, text, {CONFIDENCE_SQL} AS confidence, (8 * length(text))::DOUBLE AS x1, (20 * line_no)::DOUBLE AS y0, (20 * line_no + 16)::DOUBLE AS y1 FROM raw WHERE regexp_replace(text, '[\t\n\x0b\f\r ]+', '', 'g') <> '')"""
