@@ -75,4 +75,29 @@ def p3_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested_tables(spark, sf_dir).withColumn("fields", F.to_json(F.map_from_entries(F.array_sort(F.map_entries("fields")))))
 
 
+def _entries(source: str, key: str) -> str:
+    """SQL: (id, parent, k, v) of the non-null entries of the JSON collections (id, parent, j) of ``source``."""
+    text = "(CASE WHEN json_type(j) = 'VARCHAR' THEN (CASE WHEN json_valid(j->>'$') THEN CAST(j->>'$' AS JSON) END) ELSE j END)"
+    return f"""(SELECT * FROM (SELECT id, parent, e.key AS k, e.value AS v FROM (SELECT id, parent, unnest(map_entries(CAST(j AS MAP(VARCHAR, JSON)))) AS e FROM (SELECT id, parent, {text} AS j FROM {source}) WHERE json_type(j) = 'OBJECT')
+        UNION ALL SELECT id, parent, v->>'{key}' AS k, v FROM (SELECT id, parent, unnest(CAST(j AS JSON[])) AS v FROM (SELECT id, parent, {text} AS j FROM {source}) WHERE json_type(j) = 'ARRAY')) WHERE v IS NOT NULL AND json_type(v) <> 'NULL')"""
+
+
+def _latest(table_name: str, key: str) -> str:
+    return f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY recorded_at DESC, ingested_at DESC) AS i FROM {table_name} WHERE {key} IS NOT NULL) WHERE i = 1)"
+
+
 QUERIES = {"p3_found": p3_found, "p3_tables": p3_tables}
+ORACLES = {
+    "p3_found": f"""WITH rel AS (SELECT report_id AS id, CAST(payload AS JSON) AS p FROM {_latest('relation_metrics', 'report_id')} WHERE json_valid(payload)),
+      pc AS (SELECT id, '' AS parent, p->'per_class' AS j FROM rel), cls AS {_entries('pc', 'class')}, bd AS (SELECT id, '' AS parent, p->'by_dataset' AS j FROM rel), dst AS {_entries('bd', 'dataset')},
+      dc AS (SELECT id, k AS parent, v->'metrics'->'relation_per_class' AS j FROM dst), dcl AS {_entries('dc', 'class')}, e2e AS {_latest('locked_test_end_to_end_metrics', 'report_id')},
+      ed AS (SELECT report_id AS id, e.key AS k, e.value AS v FROM (SELECT report_id, unnest(map_entries(by_dataset)) AS e FROM e2e) WHERE e.value IS NOT NULL),
+      reg AS (SELECT registry_id AS id, e.key AS k, e.value AS v FROM (SELECT registry_id, unnest(map_entries(models)) AS e FROM {_latest('model_registry', 'registry_id')}) WHERE e.value IS NOT NULL)
+      SELECT DISTINCT * FROM (SELECT 'relation_metrics' AS table_name, id AS record_id, 'class' AS child, parent AS parent_key, k AS child_key FROM cls UNION ALL SELECT 'relation_metrics', id, 'dataset', '', k FROM dst
+        UNION ALL SELECT 'relation_metrics', id, 'dataset_class', parent, k FROM dcl
+        UNION ALL SELECT 'locked_test_end_to_end_metrics', report_id, 'error', '', e.key FROM (SELECT report_id, unnest(map_entries(error_counts)) AS e FROM e2e) WHERE e.value IS NOT NULL
+        UNION ALL SELECT 'locked_test_end_to_end_metrics', id, 'dataset', '', k FROM ed UNION ALL SELECT 'locked_test_end_to_end_metrics', id, 'dataset_error', k, e.key FROM (SELECT id, k, unnest(map_entries(v.error_counts)) AS e FROM ed) WHERE e.value IS NOT NULL
+        UNION ALL SELECT 'model_registry', id, 'model', '', k FROM reg UNION ALL SELECT 'model_registry', id, 'model_file', k, f.path FROM (SELECT id, k, unnest(v.files) AS f FROM reg) WHERE f IS NOT NULL
+        UNION ALL SELECT 'model_registry', id, 'model_manifest', k, f.path FROM (SELECT id, k, unnest(v.development_metrics.source_manifests) AS f FROM reg) WHERE f IS NOT NULL
+        UNION ALL SELECT 'model_registry', id, 'model_codepoint', k, e.key FROM (SELECT id, k, unnest(map_entries(v.development_metrics.dictionary.excluded_by_codepoint)) AS e FROM reg) WHERE e.value IS NOT NULL)"""
+}
