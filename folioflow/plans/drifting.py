@@ -76,4 +76,24 @@ def p6_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.groupBy("table_name", "report_id", F.substring_index("stream", "|", -1).alias("stream_id"), "recorded_at").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(entry)))).alias("fields"))
 
 
+def _one(name: str) -> str:
+    return f"SELECT '{name}' AS t, stream_id, recorded_at, report_id, payload FROM (SELECT *, row_number() OVER (PARTITION BY report_id ORDER BY recorded_at DESC, ingested_at DESC) AS i FROM {name} WHERE report_id IS NOT NULL) WHERE i = 1 AND json_valid(payload)"
+
+
 QUERIES = {"p6_found": p6_found, "p6_table": p6_table}
+# the twin pairs fields that go and come one by one; with several below one parent the operator matches them
+ORACLES = {
+    "p6_found": f"""WITH RECURSIVE f AS ({' UNION ALL '.join(map(_one, REPORTS))}),
+      g AS (SELECT t, stream_id, report_id, row_number() OVER (PARTITION BY t, stream_id ORDER BY recorded_at, report_id) AS n, CAST(payload AS JSON) AS j FROM f WHERE json_type(CAST(payload AS JSON)) = 'OBJECT'),
+      p AS (SELECT t, stream_id, n, report_id, '' AS parent, e.key AS path, e.value AS v, e.key AS name FROM (SELECT *, unnest(map_entries(CAST(j AS MAP(VARCHAR, JSON)))) AS e FROM g)
+        UNION ALL SELECT t, stream_id, n, report_id, path, path || '.' || e.key, e.value, e.key FROM (SELECT *, unnest(map_entries(CAST(v AS MAP(VARCHAR, JSON)))) AS e FROM p WHERE json_type(v) = 'OBJECT' AND name NOT IN ({', '.join(repr(x) for x in OPAQUE)}))),
+      k AS (SELECT t, stream_id, n, report_id, parent, path, CASE WHEN v IS NULL OR json_type(v) = 'NULL' THEN NULL ELSE CASE json_type(v) WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN 'array' WHEN 'OBJECT' THEN 'object' ELSE 'number' END END AS kind FROM p),
+      e AS (SELECT *, last_value(kind IGNORE NULLS) OVER (PARTITION BY t, stream_id, path ORDER BY n ROWS UNBOUNDED PRECEDING) AS eff FROM k),
+      a AS (SELECT s.t, s.n, s.report_id, e.parent, e.path, e.eff FROM g s JOIN e ON e.t = s.t AND e.stream_id = s.stream_id AND e.n = s.n - 1), b AS (SELECT t, n, report_id, parent, path, eff FROM e WHERE n > 1),
+      j AS (SELECT coalesce(a.t, b.t) AS t, coalesce(a.report_id, b.report_id) AS report_id, coalesce(a.parent, b.parent) AS parent, coalesce(a.path, b.path) AS path, a.path IS NOT NULL AS was, b.path IS NOT NULL AS stays, a.eff AS ea, b.eff AS eb
+        FROM a FULL JOIN b ON a.t = b.t AND a.report_id = b.report_id AND a.path = b.path),
+      ok AS (SELECT j.* FROM j LEFT JOIN j q ON q.t = j.t AND q.report_id = j.report_id AND q.path = j.parent WHERE j.parent = '' OR (q.was AND q.stays AND q.ea = 'object' AND q.eb = 'object')),
+      c AS (SELECT *, count(*) FILTER (was AND NOT stays) OVER (PARTITION BY t, report_id, parent) AS goes, count(*) FILTER (stays AND NOT was) OVER (PARTITION BY t, report_id, parent) AS comes FROM ok)
+      SELECT t AS table_name, report_id, path AS field_path, CASE WHEN was AND stays THEN 'type' WHEN was THEN CASE WHEN goes = 1 AND comes = 1 THEN 'renamed' ELSE 'removed' END ELSE 'added' END AS change_kind
+      FROM c WHERE (was AND stays AND ea <> eb) OR (was AND NOT stays) OR (stays AND NOT was AND NOT (goes = 1 AND comes = 1))"""
+}
