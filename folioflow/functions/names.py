@@ -7,7 +7,8 @@ from pyspark.sql import Column, functions as F
 # Texts that stand for "no value", reduced to letters and digits.
 NO_VALUE = (
     "", "na", "nan", "nil", "none", "null", "unknown", "unspecified", "undefined", "missing", "nodata", "novalue",
-    "notavailable", "notapplicable", "tbd", "unk",
+    "notavailable", "notapplicable", "tbd", "tba", "unk", "empty", "blank", "void", "notset", "unset", "noname", "nogroup", "notgiven", "unassigned",
+    "keine", "leer", "unbekannt", "yok", "bilinmiyor",
 )
 # Spellings of the four splits, reduced to letters and digits.
 SPLIT_SPELLINGS = {
@@ -31,12 +32,13 @@ def plain_name(c: Column) -> Column:
 def numbered_name(c: Column) -> Column:
     """Letters of ``c`` in lower case followed by the value of its number.
 
-    ``X-0042`` and ``x42`` give ``x42``; NULL where the text names nothing.
+    ``X-0042`` and ``x42`` give ``x42``; NULL where the text names nothing,
+    which is so for any text without a number.
     """
     key = F.lower(F.regexp_replace(c, r"[^\p{L}\p{N}]+", ""))
     letters = F.regexp_replace(key, r"\p{N}+", "")
     digits = F.regexp_replace(F.regexp_replace(key, r"[^\p{N}]+", ""), r"^0+(?=\p{N})", "")
-    return F.when(_absent(key).isNotNull(), F.concat(letters, digits))
+    return F.when(digits != "", F.concat(letters, digits))
 
 
 def split_name(c: Column) -> Column:

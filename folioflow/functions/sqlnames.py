@@ -18,7 +18,7 @@ def plain(c: str) -> str:
 def numbered(c: str) -> str:
     letters = rf"regexp_replace({_key(c)}, '\p{{N}}+', '', 'g')"
     digits = rf"regexp_replace(regexp_replace({_key(c)}, '[^\p{{N}}]+', '', 'g'), '^0+(\p{{N}})', '\1')"
-    return f"(CASE WHEN {_key(c)} NOT IN ({_NONE}) THEN {letters} || {digits} END)"
+    return f"(CASE WHEN {digits} <> '' THEN {letters} || {digits} END)"
 
 
 def split(c: str) -> str:
