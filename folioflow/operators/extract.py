@@ -73,9 +73,10 @@ def header_organization(lines: DataFrame, by: list[str]) -> DataFrame:
     t = F.trim(F.col("text"))
     letters = F.length(F.regexp_replace(t, r"[^\p{L}]", ""))
     upper = F.length(F.regexp_replace(t, r"[^\p{Lu}]", ""))
-    top = lines.join(lines.groupBy(*by).agg(F.max("y1").alias("_bottom")), by).where(F.col("y0") <= F.col("_bottom") * 0.25)
-    ok = top.where((F.length(t) >= 3) & (letters > 0) & ~t.rlike(X.HEADER_WORDS) & (upper / letters >= 0.5))
-    best = ok.groupBy(*by).agg(F.min_by(F.struct("line_no", "text", "confidence"), F.struct("y0", "x0", "line_no")).alias("_b"))
+    ok = (F.length(t) >= 3) & (letters > 0) & ~t.rlike(X.HEADER_WORDS) & (upper / letters >= 0.5)
+    # the topmost such line is the answer or there is none: one aggregate finds it and the page's end
+    place = F.when(ok, F.struct("y0", "x0", "line_no"))
+    best = lines.groupBy(*by).agg(F.max("y1").alias("_bottom"), F.min_by(F.struct("line_no", "text", "confidence", "y0"), place).alias("_b")).where(F.col("_b.y0") <= F.col("_bottom") * 0.25)
     return best.select(*by, F.col("_b.line_no").alias("line_no"), F.lit("organization_name").alias("field"), F.trim("_b.text").alias("value"), F.trim("_b.text").alias("raw_text"), (F.col("_b.confidence") * 0.75).alias("field_confidence"))
 
 
