@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 #: The keys treated as hot are the HOT most frequent ones: a bound that does
 #: not grow with the data.  Any other key holds less than 1/(HOT+1) of the rows.
@@ -47,3 +47,26 @@ def lookup_join(
     return left.join(right, (F.col(key) == F.col("_lookup_key")) & (F.col("_salt") == F.col("_lookup_salt")), how).drop(
         "_salt", "_lookup_key", "_lookup_salt"
     )
+
+
+def with_group_min(df: DataFrame, key: str, value: str, distinct: bool = False, hot: int = HOT) -> DataFrame:
+    """``df`` with ``least`` (the smallest ``value``) and ``n`` (the rows) of each row's group, in one exchange.
+
+    Groups of the hottest keys are spread over SALTS partitions; their figures
+    come from an aggregate (at most ``hot`` rows, sent to every task).  Any
+    other group holds less than 1/(hot+1) of the rows and is a window of its
+    partition.  ``distinct`` drops repeated (key, value) rows on the way, of
+    which ``n`` counts the remaining ones only for groups that aren't hot.
+    ``df`` is read three times, so it should be cheap; null keys are one group.
+    """
+    top = hot_keys(df, key, hot)
+    flagged = df.join(F.broadcast(top), F.col(key) == F.col("_hot_key"), "left")
+    salt = F.pmod(F.xxhash64(value), F.lit(SALTS)).cast("int")
+    spread = flagged.withColumn("_salt", F.when(F.col("_hot_key").isNull(), F.lit(0)).otherwise(salt)).repartition(key, "_salt")
+    if distinct:
+        spread = spread.dropDuplicates([key, "_salt", value])
+    part = W.partitionBy(key, "_salt")
+    spread = spread.withColumns({"_least": F.min(value).over(part), "_n": F.count(F.lit(1)).over(part)})
+    whole = df.join(F.broadcast(top), F.col(key) == F.col("_hot_key")).groupBy(F.col("_hot_key").alias("_k")).agg(F.min(value).alias("_hot_least"), F.count(F.lit(1)).alias("_hot_n"))
+    out = spread.join(F.broadcast(whole), F.col(key) == F.col("_k"), "left")
+    return out.select(*df.columns, F.coalesce("_hot_least", "_least").alias("least"), F.coalesce("_hot_n", "_n").alias("n"))
