@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from folioflow.functions import sqlnames
 from folioflow.functions.names import numbered_name, plain_name
-from folioflow.operators.skew import lookup_join
+from folioflow.operators.skew import lookup_join, with_group_min
 from folioflow.sources.tables import current_rows, table
 from folioflow.storage import drop_written, written
 
@@ -23,37 +23,32 @@ def hash_to_min(pairs: DataFrame, a: str, b: str) -> DataFrame:
     Nulls and loops link nothing, repeated pairs count once, an empty table
     gives an empty result.  Extra columns are ignored.
     """
-    links = pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).alias("node"), F.col(b).alias("member"))
-    both = links.unionByName(links.select(F.col("member").alias("node"), F.col("node").alias("member")))
-    own = both.select("node", F.col("node").alias("member"))
-    clusters = written(both.unionByName(own).distinct(), "clusters")
+    links = pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).alias("x"), F.col(b).alias("y"))
+    # every node with itself and its neighbours
+    start = links.select(F.explode(F.array(_row("x", "y"), _row("y", "x"), _row("x", "x"), _row("y", "y"))).alias("m")).select("m.node", "m.member")
+    clusters = written(with_group_min(start, "node", "member", distinct=True).drop("n"), "clusters")
     state = _state(clusters)
     while True:
-        least = written(clusters.groupBy(F.col("node").alias("_n")).agg(F.min("member").alias("least")), "least")
-        told = lookup_join(clusters, "node", least, "_n", "inner", salt=F.pmod(F.xxhash64("member"), F.lit(32)))
-        sent = told.select(
-            F.explode(
-                F.array(
-                    F.struct(F.col("least").alias("node"), F.col("member")),
-                    F.struct(F.col("member").alias("node"), F.col("least").alias("member")),
-                )
-            ).alias("m")
-        ).select("m.node", "m.member")
-        nxt = written(sent.distinct(), "clusters")
+        sent = clusters.select(F.explode(F.array(_row("least", "member"), _row("member", "least"))).alias("m")).select("m.node", "m.member")
+        nxt = written(with_group_min(sent, "node", "member", distinct=True).drop("n"), "clusters")
         after = _state(nxt)
-        drop_written(clusters, least)
+        drop_written(clusters)
         clusters = nxt
         if after == state:
             break
         state = after
     # stable: a node's cluster is its root, or, at the root, the whole group
-    return clusters.groupBy("node").agg(F.min("member").alias("root"))
+    return clusters.where("node <> least OR node = member").select("node", F.col("least").alias("root"))
+
+
+def _row(node: str, member: str) -> Column:
+    return F.struct(F.col(node).alias("node"), F.col(member).alias("member"))
 
 
 def _state(clusters: DataFrame) -> tuple:
-    """Number of rows and an order-free checksum of the rows."""
-    h = F.xxhash64("node", "member")
-    return tuple(clusters.agg(F.count(F.lit(1)), F.sum(h.cast("decimal(20,0)")), F.sum(F.xxhash64("member", "node").cast("decimal(20,0)"))).first())
+    """Number of rows and two order-free checksums of the rows."""
+    sums = [F.sum(F.xxhash64(*c).cast("decimal(20,0)")) for c in (("node", "member"), ("member", "node"))]
+    return tuple(clusters.agg(F.count(F.lit(1)), *sums).first())
 
 
 def link_keys(scope: str, names: dict[str, Column]) -> Column:
@@ -73,12 +68,12 @@ def group_records(records: DataFrame, key: str, links: str) -> DataFrame:
     groups of one record have no row.
     """
     recs = written(records.where(F.col(key).isNotNull() & (F.size(links) > 0)).select(F.col(key).alias("rec"), F.col(links).alias("names"), F.element_at(links, 1).alias("anchor")), "records")
-    edges = recs.where(F.size("names") > 1).select("anchor", F.explode(F.slice("names", 2, 1000)).alias("other")).distinct()
+    edges = recs.where(F.size("names") > 1).select("anchor", F.explode(F.slice("names", 2, 1000)).alias("other"))
     roots = written(hash_to_min(edges, "anchor", "other"), "roots")
     flat = recs.select("rec", "anchor")
     named = written(lookup_join(flat, "anchor", roots, "node").select("rec", F.coalesce("root", "anchor").alias("root")), "named")
-    heads = named.groupBy(F.col("root").alias("_root")).agg(F.min("rec").alias("group_key"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    return lookup_join(named, "root", heads, "_root", "inner").select("group_key", F.col("rec").alias(key))
+    grouped = with_group_min(named, "root", "rec").where("n > 1")
+    return grouped.select(F.col("least").alias("group_key"), F.col("rec").alias(key))
 
 
 def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
