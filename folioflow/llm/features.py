@@ -66,7 +66,8 @@ def hashed_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.nd
     unit = np.cumsum(breaks)
     ends = np.cumsum([len(t) + 1 for t in full])
     up, down = _power(len(raw) + 1)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(codes * up[: len(raw)])])
+    letters = np.concatenate([[0], np.cumsum(codes > 0)])  # characters that are dropped don't count as places
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(codes * up[letters[:-1]])])
 
     dropped = (codes == 0) & (kind != BREAK) & _invisible(raw)
     kind = kind.copy()
@@ -74,15 +75,14 @@ def hashed_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.nd
     edge = np.diff(np.concatenate([[0], inside.astype(np.int8), [0]]))
     a, b = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     digit = np.concatenate([[0], np.cumsum((raw >= 48) & (raw <= 57))])
-    letters = np.concatenate([[0], np.cumsum(codes > 0)])
     n, d = letters[b] - letters[a], digit[b] - digit[a]
     good = (n >= 2) & (2 * d < n)
-    h = _mix((total[b] - total[a]) * down[a])
+    h = _mix((total[b] - total[a]) * down[letters[a]])
     joined = kind == JOINED
     run = np.concatenate([[0], np.cumsum(joined)])
     at = np.arange(max(0, len(raw) - JOINED_SHINGLE + 1))
     at = at[(run[at + JOINED_SHINGLE] - run[at]) == JOINED_SHINGLE] if len(at) else at
-    hj = _mix((total[at + JOINED_SHINGLE] - total[at]) * down[at])
+    hj = _mix((total[at + JOINED_SHINGLE] - total[at]) * down[letters[at]])
     where = np.concatenate([a[good], at])
     features = np.concatenate([h[good], hj])
     return np.searchsorted(ends, where, "right"), unit[where], features
