@@ -198,10 +198,11 @@ def synthetic_count(real: Column, fraction: Column) -> Column:
 
 
 def human_bytes(n: Column) -> Column:
-    out = F.format_string("%.2f TB", n / F.lit(1024.0**4))
+    """Bytes with a unit, two places rounded half-even; NULL for NULL."""
+    out = F.format_string("%.2f TB", F.bround(n / F.lit(1024.0**4), 2))
     for unit, size in (("GB", 3), ("MB", 2), ("KB", 1)):
-        out = F.when(n < F.lit(1024.0 ** (size + 1)), F.format_string(f"%.2f {unit}", n / F.lit(1024.0**size))).otherwise(out)
-    return F.when(n < 1024, F.format_string("%d B", n.cast("bigint"))).otherwise(out)
+        out = F.when(n < F.lit(1024.0 ** (size + 1)), F.format_string(f"%.2f {unit}", F.bround(n / F.lit(1024.0**size), 2))).otherwise(out)
+    return F.when(n < 1024, F.format_string("%d B", n.cast("bigint"))).when(n.isNotNull(), out)
 
 
 def truth(text: Column) -> Column:

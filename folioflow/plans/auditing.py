@@ -225,6 +225,8 @@ ORACLES = {
     "extension_histogram": f"WITH {_FILES} SELECT dataset, string_split(safe_path, '/')[2] AS component, lower(string_split(safe_path, '.')[-1]) AS ext, count(*) AS n FROM files GROUP BY 1, 2, 3",
     "slice_rollup": f"WITH {_PAGES}, p AS (SELECT dataset, coalesce(split, 'none') AS split, document FROM pages) SELECT dataset, split, count(*) AS pages, count(DISTINCT document) AS documents FROM p GROUP BY GROUPING SETS ((), (dataset), (split), (dataset, split))",
     "sales_rollup": "SELECT o_orderstatus, l_returnflag, count(*) AS items, sum(l_quantity::DECIMAL(12,2))::DOUBLE AS quantity, grouping(o_orderstatus, l_returnflag) AS level FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ROLLUP (o_orderstatus, l_returnflag)",
+    "size_labels": f"""WITH {_FILES} SELECT file_id, CASE WHEN size_bytes < 1024 THEN size_bytes || ' B' WHEN size_bytes < 1048576 THEN printf('%.2f KB', size_bytes / 1024.0::DOUBLE) WHEN size_bytes < 1073741824 THEN printf('%.2f MB', size_bytes / 1048576.0::DOUBLE)
+        WHEN size_bytes < 1099511627776 THEN printf('%.2f GB', size_bytes / 1073741824.0::DOUBLE) ELSE printf('%.2f TB', size_bytes / 1099511627776.0::DOUBLE) END AS label, coalesce(private, false) AS is_private FROM files WHERE size_bytes IS NOT NULL UNION ALL SELECT file_id, NULL, coalesce(private, false) FROM files WHERE size_bytes IS NULL""",
     "excluded_pages": f"WITH {_PAGES}, w AS (SELECT page_id, CASE WHEN private_status = 'private' THEN 'private' WHEN reason <> '' THEN reason WHEN selection_status <> 'selected' THEN 'not_selected' WHEN split IS NULL THEN 'no_split' END AS why FROM pages) SELECT * FROM w WHERE why IS NOT NULL",
     "baseline_changes": """WITH r AS (SELECT file_id, baseline_run, lower(sha256) AS digest, size_bytes FROM (SELECT *, row_number() OVER (PARTITION BY file_id, baseline_run ORDER BY recorded_at DESC, lower(sha256) DESC NULLS LAST, size_bytes DESC) AS i FROM raw_baseline) WHERE i = 1)
         SELECT coalesce(b.baseline_run, a.baseline_run + 1) AS run, CASE WHEN a.file_id IS NULL THEN 'added' WHEN b.file_id IS NULL THEN 'missing' WHEN a.digest IS NOT DISTINCT FROM b.digest AND a.size_bytes IS NOT DISTINCT FROM b.size_bytes THEN 'same' ELSE 'changed' END AS status,

@@ -297,3 +297,9 @@ def test_rules_of_reports_and_redaction(spark):
     assert t.select(V.redact(F.col("t"), ["/home/x", "r7.pdf"], "r7")).first()[0] == "see <private> in <private>; <private>_output; xr7; <private>"
     with pytest.raises(Exception, match="private row"):
         spark.createDataFrame([(None, 1)], "p boolean, v int").select(V.public_only(F.col("p"), F.col("v"))).collect()
+
+
+def test_sizes_and_flags(spark):
+    df = spark.createDataFrame([(10.0, "Yes "), (2048.0, "n"), (244352.0, None), (5.0 * 1024**3, "1"), (None, "")], "n double, t string")
+    got = df.select(X.human_bytes(F.col("n")), X.truth(F.col("t"))).collect()
+    assert [x[0] for x in got] == ["10 B", "2.00 KB", "238.62 KB", "5.00 GB", None] and [x[1] for x in got] == [True, False, False, True, False]
