@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
+
+from folioflow.storage import written
 
 SEED = "42"
 
@@ -43,15 +45,10 @@ def numbered_ids(df: DataFrame, scope: str, key: str, width: int = 6, label: str
     a scope that holds most of the keys is spread over many tasks.  Null keys
     get no id.
     """
-    from folioflow.storage import written
-
     keys = df.where(F.col(key).isNotNull() & F.col(scope).isNotNull()).select(scope, key).distinct()
     ranged = keys.repartitionByRange(scope, key).sortWithinPartitions(scope, key)
     ranged = written(ranged.select(scope, key, F.spark_partition_id().alias("_part"), (F.monotonically_increasing_id() % F.lit(1 << 33)).alias("_at")), "keys")
     parts = ranged.groupBy(scope, "_part").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    # one row per range and scope: small
-    from pyspark.sql import Window as W
-
     parts = parts.withColumn("_offset", F.sum("_n").over(W.partitionBy(scope).orderBy("_part")) - F.col("_n")).select(scope, "_part", "_first", "_offset")
-    ranked = ranged.join(F.broadcast(parts), [scope, "_part"]).withColumn("_rank", F.col("_offset") + F.col("_at") - F.col("_first"))
+    ranked = ranged.join(parts, [scope, "_part"]).withColumn("_rank", F.col("_offset") + F.col("_at") - F.col("_first"))
     return ranked.select(scope, key, F.format_string(f"%s_%0{width}d", F.col(scope), F.col("_rank")).alias(label))

@@ -38,7 +38,7 @@ def proportional(rows: DataFrame, stratum: str, key: str, n: int, seed: str = "4
     """n rows in proportion to the strata's sizes, within each by hash."""
     sizes = rows.groupBy(stratum).agg(F.count(F.lit(1)).alias("size"))
     quota = apportion(sizes, stratum, "size", n).select(F.col(stratum).alias("_s"), "quota")
-    return smoke(rows, [stratum], key, n, seed).join(F.broadcast(quota), F.col(stratum).eqNullSafe(F.col("_s"))).where(F.col("rank_in_stratum") <= F.col("quota")).drop("_s")
+    return smoke(rows, [stratum], key, n, seed).join(quota, F.col(stratum).eqNullSafe(F.col("_s"))).where(F.col("rank_in_stratum") <= F.col("quota")).drop("_s")
 
 
 def weighted(rows: DataFrame, stratum: str, key: str, n: int, weights: dict[str, float], seed: str = "42") -> DataFrame:

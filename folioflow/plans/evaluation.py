@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from folioflow.functions.text import tokens, word_distance
 from folioflow.operators import metrics as M
@@ -10,10 +10,9 @@ from folioflow.sources.tables import current_rows, table
 
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Neighbouring documents of a source by id: their second lines."""
-    line = F.coalesce(F.try_element_at(F.split("text", "\n"), F.lit(2)), F.lit(""))
-    docs = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", "source", line.alias("line"))
-    return docs.withColumn("previous", F.lag("line").over(W.partitionBy("source").orderBy("doc_id"))).where("previous IS NOT NULL")
+    """Each document's first line as reference and its second as prediction."""
+    at = lambda i: F.coalesce(F.try_element_at(F.split("text", "\n"), F.lit(i)), F.lit(""))
+    return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", "source", at(1).alias("previous"), at(2).alias("line"))
 
 
 def cer_pairs(spark, d):
@@ -111,10 +110,10 @@ def selection_scores(spark, d):
 
 
 def acceptance_gates(spark, d):
-    """Every report against the report before it by id, as a detector would be judged."""
-    r = _reports(spark, d).where("entity_f1 IS NOT NULL AND relation_f1 IS NOT NULL").select(F.row_number().over(W.orderBy("report_id")).alias("i"), "report_id", F.col("entity_f1").alias("f1"), F.col("relation_f1").alias("critical_recall"), F.lit(0).alias("failures"), F.lit(0.5).alias("seconds"))
+    """Every report against the one of the smallest id, as a detector would be judged."""
+    r = _reports(spark, d).where("entity_f1 IS NOT NULL AND relation_f1 IS NOT NULL").select("report_id", F.col("entity_f1").alias("f1"), F.col("relation_f1").alias("critical_recall"), F.lit(0).alias("failures"), F.lit(0.5).alias("seconds"))
     g = M.detector_gate("b", "c", 1.0)
-    j = r.alias("c").join(r.alias("b"), F.col("c.i") == F.col("b.i") + 1)
+    j = r.alias("c").join(F.broadcast(r.orderBy("report_id").limit(1)).alias("b"), F.col("c.report_id") > F.col("b.report_id"))
     return j.select(F.col("c.report_id").alias("report_id"), *[v.alias(k) for k, v in g.items()], M.accepted(g).alias("accepted"))
 
 
@@ -139,7 +138,6 @@ QUERIES = {f.__name__: f for f in (
     cer_pairs, cer_by_source, word_errors, multiset_f1, ece_brier, threshold_sweep, abstention_f1, label_confusion, clustering_report, cluster_mapping, class_weights, angle_metrics, angle_zones, weighted_median,
     selection_scores, acceptance_gates, report_regressions, simplest_configuration, angle_retention,
 )}
-_PAIRS = """d AS (SELECT doc_id, source, coalesce(string_split(text, chr(10))[2], '') AS line FROM documents WHERE text IS NOT NULL), p AS (SELECT *, lag(line) OVER (PARTITION BY source ORDER BY doc_id) AS previous FROM d), q AS (SELECT * FROM p WHERE previous IS NOT NULL)"""
 _S = """s AS (SELECT event_id, event_id % 4 AS label, CASE WHEN event_id % 11 < 8 THEN event_id % 4 ELSE (event_id * 7) % 4 END AS prediction, (event_id % 1009) / 1009.0::DOUBLE AS confidence FROM events)"""
 _ERR = "least(abs((value % 360 + 360) % 360 - event_id % 360), 360 - abs((value % 360 + 360) % 360 - event_id % 360))"
 _R = """r AS (SELECT report_id, metrics.entity_f1 AS entity_f1, metrics.relation_f1 AS relation_f1, metrics.canonical_field_accuracy AS ca, metrics.document_type_accuracy AS cov, 0.1 / metrics.processing_time_per_page_seconds AS eff FROM (SELECT *, row_number() OVER (PARTITION BY report_id ORDER BY recorded_at DESC, ingested_at DESC) AS i FROM locked_test_end_to_end_metrics) WHERE i = 1)"""
@@ -172,7 +170,7 @@ ORACLES = {
     "weighted_median": """WITH g AS (SELECT user_id, value, sum(event_id % 5 + 1)::DOUBLE AS w FROM events GROUP BY 1, 2), c AS (SELECT *, sum(w) OVER (PARTITION BY user_id ORDER BY value) AS cum, sum(w) OVER (PARTITION BY user_id) AS whole FROM g) SELECT user_id, min(value) AS weighted_median FROM c WHERE cum >= whole / 2 - 1e-9 GROUP BY 1""",
     "selection_scores": f"""WITH {_R} SELECT report_id, round(0.20 * 0.5 + 0.15 * {_C.format('cov')} + 0.10 * 0.6 + 0.15 * 0.3 + 0.15 * {_C.format('entity_f1')} + 0.10 * {_C.format('ca')} + 0.05 * {_C.format('relation_f1')} + 0.05 * {_C.format('eff')} + 0.05 * 0.98, 9) AS ocr_model_score,
         round(0.30 * 0.5 + 0.25 * {_C.format('cov')} + 0.15 * 0.6 + 0.20 * 0.3 + 0.10 * {_C.format('eff')}, 9) AS preprocessing_score, round(0.40 * 0.3 + 0.20 * {_C.format('cov')} + 0.15 * 0.6 + 0.10 * {_C.format('entity_f1')} + 0.05 * {_C.format('ca')} + 0.05 * {_C.format('eff')} + 0.05 * 0.98, 9) AS padding_score FROM r""",
-    "acceptance_gates": f"""WITH {_R}, q AS (SELECT *, row_number() OVER (ORDER BY report_id) AS i FROM r WHERE entity_f1 IS NOT NULL AND relation_f1 IS NOT NULL), g AS (SELECT c.report_id, c.entity_f1 - b.entity_f1 >= 0.1 - 1e-12 OR c.entity_f1 >= 0.6 - 1e-12 AS f1_improvement_or_floor, c.relation_f1 + 1e-12 >= b.relation_f1 AS critical_recall_no_regression FROM q c JOIN q b ON c.i = b.i + 1)
+    "acceptance_gates": f"""WITH {_R}, q AS (SELECT * FROM r WHERE entity_f1 IS NOT NULL AND relation_f1 IS NOT NULL), g AS (SELECT c.report_id, c.entity_f1 - b.entity_f1 >= 0.1 - 1e-12 OR c.entity_f1 >= 0.6 - 1e-12 AS f1_improvement_or_floor, c.relation_f1 + 1e-12 >= b.relation_f1 AS critical_recall_no_regression FROM q c JOIN (SELECT * FROM q ORDER BY report_id LIMIT 1) b ON c.report_id > b.report_id)
         SELECT *, true AS no_new_failures, true AS processing_time_acceptable, f1_improvement_or_floor AND critical_recall_no_regression AS accepted FROM g""",
     "report_regressions": f"""WITH {_R}, b AS (SELECT entity_f1 AS be, relation_f1 AS br FROM r WHERE entity_f1 IS NOT NULL AND relation_f1 IS NOT NULL ORDER BY report_id LIMIT 1), g AS (SELECT report_id, entity_f1, relation_f1, coalesce(entity_f1 + 0.02 + 1e-12 < be, false) AS e, coalesce(relation_f1 + 0.02 + 1e-12 < br, false) AS l FROM r, b)
         SELECT report_id, entity_f1, relation_f1, concat_ws(',', CASE WHEN e THEN 'entity_f1' END, CASE WHEN l THEN 'relation_f1' END) AS regressed, NOT e AND NOT l AS passed FROM g""",

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from folioflow.functions import noise as N
 from folioflow.operators import learning as L, recognition as R
-from folioflow.sources.lines import INVOICE_SQL, document_lines, invoice_lines
+from folioflow.sources.lines import document_lines, invoice_lines
 from folioflow.sources.tables import table
 
 
