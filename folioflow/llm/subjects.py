@@ -54,7 +54,7 @@ def _ratio_step(rows: np.ndarray, cols: np.ndarray, v: np.ndarray, w: np.ndarray
 def _sums(index: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     """Row sums of ``values`` by ``index``."""
     order = np.argsort(index, kind="stable")
-    out = np.zeros((n, values.shape[1]))
+    out = np.zeros((n, values.shape[1]), values.dtype)
     if len(index):
         cuts = np.flatnonzero(np.diff(index[order], prepend=-1))
         out[index[order][cuts]] = np.add.reduceat(values[order], cuts, axis=0)
@@ -77,9 +77,9 @@ def anchored_factors(texts: list[str | None], labels: list[set[int]], subjects:
     terms, cols = np.unique(feature, return_inverse=True)
     cells = np.unique(text.astype(np.int64) * len(terms) + cols)
     rows, cols = cells // len(terms), cells % len(terms)
-    v = 100.0 / np.bincount(rows, minlength=n)[rows]
+    v = (100.0 / np.bincount(rows, minlength=n)[rows]).astype(np.float32)
     at = {s: i for i, s in enumerate(subjects)}
-    w = np.zeros((n, k + BACKGROUND))
+    w = np.zeros((n, k + BACKGROUND), np.float32)
     for i, own in enumerate(labels):
         for s in own:
             if s in at:
