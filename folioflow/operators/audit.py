@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from folioflow.operators.components import connected_components
-from folioflow.operators.skew import lookup_join
-from folioflow.storage import written
+from folioflow.operators.skew import SALTS, lookup_join, with_group_min
+from folioflow.storage import drop_written, written
+
+SHINGLE_WORDS = 5
+#: So many of the most frequent shingles are told to every worker: a bound that doesn't grow.
+HOT_SHINGLES = 1 << 18
+ROWS = 256
 
 
 def exact_duplicates(rows: DataFrame, digest: str) -> DataFrame:
@@ -44,20 +53,86 @@ def longest_prefix(rows: DataFrame, key: str, stems: DataFrame, stem: str, sep:
     return rows.select(key).distinct().join(hit, key, "left")
 
 
-@F.pandas_udf(T.LongType())
-def simhash64(texts: pd.Series) -> pd.Series:
-    """SimHash of a text's five-word shingles (of all its words where it has fewer)."""
-    out = []
-    for t in texts:
-        w = (t or "").lower().split()
-        if not w:
-            out.append(None)
-            continue
-        parts = {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
-        h = pd.util.hash_array(np.array(sorted(parts), dtype=object), categorize=False)
-        bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(0) * 2 > len(parts)
-        out.append(np.packbits(bits).view(np.int64)[0])
-    return pd.Series(out, dtype="Int64")
+def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
+    """The distinct five-word shingles of each text as sorted 64-bit hashes (all its words as one where it has fewer)."""
+    words = [(t or "").lower().split() for t in texts]
+    parts = [[" ".join(w[i : i + SHINGLE_WORDS]) for i in range(max(1, len(w) - SHINGLE_WORDS + 1))] if w else [] for w in words]
+    flat = np.empty(sum(map(len, parts)), dtype=object)
+    flat[:] = [x for p in parts for x in p]
+    hashes = pd.util.hash_array(flat, categorize=False).view(np.int64)
+    ends = np.cumsum([0, *map(len, parts)])
+    return [np.unique(hashes[a:b]) for a, b in zip(ends[:-1], ends[1:])]
+
+
+def _kernel(rows: DataFrame, schema: T.StructType, made: Callable[[np.ndarray], tuple]) -> DataFrame:
+    """(key, made...): what ``made`` gives for the shingle set of each (key, text), in slices of ROWS."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        to = None
+        for whole in batches:
+            for b in (whole.slice(i, ROWS) for i in range(0, whole.num_rows, ROWS)):
+                to = to or to_arrow_schema(schema)
+                out = list(zip(*[made(s) for s in shingle_sets(b.column(1).to_pylist())]))
+                yield pa.RecordBatch.from_arrays([b.column(0).cast(to.field(0).type), *[pa.array(v, f.type) for v, f in zip(out, list(to)[1:])]], names=to.names)
+
+    return rows.mapInArrow(run, schema)
+
+
+def near_text_groups(rows: DataFrame, key: str, text: str, cell: int = 512) -> DataFrame:
+    """(key, group): rows linked by texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+
+    Equal sets are one class and are compared once.  In one fixed order of all
+    shingles (the frequent ones last), two sets that similar share one of the
+    first n - ceil(0.8 n) + 1 of each, so no pair is missed; pairs that share
+    one and whose sizes, places and parity bits allow the similarity are then
+    compared shingle by shingle.  The frequencies come from a sixteenth of the rows and
+    steer the order only, never which pairs there are.  A shingle in many
+    prefixes is spread over a grid of cells of about ``cell`` rows.  Shingles
+    are told apart by 64-bit hashes.  Texts without words stay alone.
+    """
+    spark = rows.sparkSession
+    texts = rows.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    field = T.StructType([texts.schema["key"]])
+    drawn = texts.where((F.pmod(F.xxhash64("key"), F.lit(16)) == 0) & F.col("text").isNotNull())
+    counts = _kernel(drawn, T.StructType([*field, T.StructField("s", T.ArrayType(T.LongType()))]), lambda s: (s,)).select(F.explode("s").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    hot = counts.orderBy(F.desc("n"), "s").limit(HOT_SHINGLES).toArrow()
+    by = np.argsort(values := hot["s"].to_numpy())
+    shared = spark.sparkContext.broadcast((values[by], hot["n"].to_numpy()[by]))
+
+    def prefix(s: np.ndarray) -> tuple:
+        if not len(s):
+            return None, 0, [], []
+        known, often = shared.value
+        n = np.zeros(len(s), np.int64)
+        if len(known):
+            at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+            n = np.where(known[at] == s, often[at], 0)
+        return hashlib.blake2b(s.tobytes(), digest_size=16).digest(), len(s), s[np.lexsort((s, n))[: len(s) - -(-4 * len(s) // 5) + 1]], np.packbits(np.bincount(s & 255, minlength=256) & 1).view(np.int64)
+
+    made = written(_kernel(texts, T.StructType([*field, T.StructField("digest", T.BinaryType()), T.StructField("n", T.IntegerType()), T.StructField("prefix", T.ArrayType(T.LongType())), T.StructField("bits", T.ArrayType(T.LongType()))]), prefix), "shingles")
+    classes = written(made.where("digest IS NOT NULL").groupBy("digest").agg(F.min("key").alias("head"), F.first("n").alias("size"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits")), "classes")
+    first = classes.select(F.col("head"), "size", F.posexplode("prefix").alias("at", "s"))
+    seen = with_group_min(first, "s", "head").where("n > 1").withColumn("g", F.ceil(F.col("n") / cell)).withColumn("cell", F.pmod(F.xxhash64("head"), F.col("g")))
+    seen = written(seen.select("s", "head", "size", "at", "g", "cell"), "prefixes")
+    grid = seen.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1))).withColumns({"lo": F.least("cell", "k"), "hi": F.greatest("cell", "k")}).drop("k", "g")
+    a, b = grid.alias("a"), grid.alias("b")
+    most = F.least(F.col("a.size") - F.col("a.at"), F.col("b.size") - F.col("b.at"))  # of shingles in common, if this is the first
+    on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("s", "lo", "hi")] + [F.col("a.head") < F.col("b.head"), (F.col("a.lo") == F.col("a.hi")) | (F.col("a.cell") != F.col("b.cell")), 9 * most >= 4 * (F.col("a.size") + F.col("b.size"))]
+    pairs = written(a.join(b, on).select(F.col("a.head").alias("x"), F.col("b.head").alias("y")).distinct(), "pairs")
+    # a bit per residue of the hashes, set by an odd number of them: sets differ in at least as many shingles as bits
+    sketch = lambda n: classes.select("head", F.struct("size", "bits").alias(n))
+    half = written(lookup_join(pairs, "x", sketch("u"), "head", "inner"), "half")
+    apart = F.aggregate(F.zip_with("u.bits", "v.bits", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda acc, n: acc + n)
+    kept = written(lookup_join(half, "y", sketch("v"), "head", "inner").where(9 * apart <= F.col("u.size") + F.col("v.size")).select("x", "y").distinct(), "kept")
+    wanted = kept.select(F.explode(F.array("x", "y")).alias("key")).distinct()
+    sets = written(_kernel(texts.join(wanted, "key", "left_semi"), T.StructType([*field, T.StructField("s", T.ArrayType(T.LongType()))]), lambda s: (s,)), "sets")
+    left = written(lookup_join(kept, "x", sets.select("key", F.col("s").alias("sx")), "key", "inner"), "left")
+    both = lookup_join(left, "y", sets.select("key", F.col("s").alias("sy")), "key", "inner", F.pmod(F.xxhash64("x"), F.lit(SALTS)))
+    links = both.where(9 * F.size(F.array_intersect("sx", "sy")) >= 4 * (F.size("sx") + F.size("sy"))).select("x", "y")
+    roots = connected_components(links, "x", "y")
+    heads = written(lookup_join(classes.select("digest", "head"), "head", roots.withColumnRenamed("node", "_node"), "_node").select(F.col("digest").alias("_d"), F.coalesce("root", "head").alias("_group")), "heads")
+    drop_written(classes, seen, pairs, half, kept, sets, left)
+    return lookup_join(made.select("key", "digest"), "digest", heads, "_d").select(F.col("key").alias(key), F.coalesce("_group", "key").alias("group"))
 
 
 def hamming_groups(rows: DataFrame, key: str, hash64: str, radius: int = 5, blocks: int = 8, buckets: tuple[str, ...] = ()) -> DataFrame:

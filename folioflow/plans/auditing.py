@@ -62,8 +62,7 @@ def prefix_match(spark, d):
 
 
 def near_duplicates(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", A.simhash64(F.col("text")).alias("h"))
-    return A.hamming_groups(written(docs, "hashes"), "doc_id", "h").select("doc_id", F.col("group").alias("class_id"))
+    return A.near_text_groups(table(spark, d, "documents"), "doc_id", "text").select("doc_id", F.col("group").alias("class_id"))
 
 
 def duplicate_components(spark, d):

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from folioflow.operators.components import connected_components
 from folioflow.operators.skew import hot_keys, lookup_join
 from folioflow.operators.audit import hamming_groups
+from folioflow.plans.catalog import QUERIES
 
 
 def roots(edges):
@@ -60,3 +61,32 @@ def test_hamming_groups_against_all_pairs(spark):
     want = roots(pairs)
     got = {x.id: x.group for x in hamming_groups(spark.createDataFrame(rows, "id int, h long"), "id", "h").collect()}
     assert got == {i: want.get(i, i) for i, _ in rows}
+
+
+def test_near_duplicates_against_all_pairs(spark, tmp_path):
+    """Edits spread over a text move many SimHash bits at a shingle similarity of 0.8; a footer is in every text."""
+    r = random.Random(12)
+    footer = " please keep this sheet with the box"
+    texts: list = [None, "", "  ", "one two", "One  two", "one three"]
+    for f in range(30):
+        words = [f"w{r.randrange(4000)}" for _ in range(r.choice([30, 80, 200]))]
+        for _ in range(5):
+            w = list(words)
+            for _ in range(r.randrange(1 + len(w) // 40)):
+                w[r.randrange(len(w))] = f"x{r.randrange(4000)}"
+            texts.append(" ".join(w) + footer)
+    sets = [frozenset(" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if (w := (t or "").lower().split()) else None for t in texts]
+    group = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a and b and len(a & b) / len(a | b) >= 0.8 and group[i] != group[j]:
+                lo, hi = sorted((group[i], group[j]))
+                group = [lo if g == hi else g for g in group]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x.doc_id: x.class_id for x in QUERIES["near_duplicates"](spark, str(tmp_path)).collect()}
+    assert got == dict(enumerate(group)) and len(set(group)) < 100
+    from folioflow.operators.audit import near_text_groups
+
+    assert {x.doc_id: x.group for x in near_text_groups(docs, "doc_id", "text", cell=3).collect()} == got
+    assert near_text_groups(docs.limit(0), "doc_id", "text").count() == 0
