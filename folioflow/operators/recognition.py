@@ -137,11 +137,20 @@ def nearest_cardinal(angle: Column) -> Column:
     return F.array_min(each).c
 
 
-def confusable_orientation(angles: Column, apart: float = 30.0) -> Column:
-    """At least four words, two of which differ by ``apart`` degrees modulo a half turn."""
-    def gap(a: Column, b: Column) -> Column:
-        d = F.pmod(F.abs(a - b), F.lit(180.0))
-        return F.least(d, 180.0 - d)
-
-    widest = F.array_max(F.transform(angles, lambda a: F.array_max(F.transform(angles, lambda b: gap(a, b)))))
-    return (F.size(angles) >= 4) & F.coalesce(widest >= apart, F.lit(False))
+def confusable_orientation(angle: Column, apart: float = 30.0) -> Column:
+    """Aggregate: at least four angles, two of which differ by ``apart`` degrees (up to 45) modulo a half turn.
+
+    The half turn is cut into sectors no narrower than ``apart``, so angles in
+    sectors that don't touch are apart, and those of one or of two neighbouring
+    sectors are if the largest and the smallest are.  It combines on the map
+    side and keeps no list.  Angles that aren't finite are left out.
+    """
+    k = int(180 // apart)
+    assert k >= 4, "apart is more than 45 degrees"
+    inside = F.when(F.abs(angle) < float("inf"), F.pmod(angle, F.lit(180.0)))
+    sector = F.least(F.lit(k - 1), F.floor(inside / (180.0 / k)))
+    low, high = ([f(F.when(sector == i, inside)) for i in range(k)] for f in (F.min, F.max))
+    wide = lambda d: F.coalesce(d >= apart - 1e-9, F.lit(False))
+    found = [wide(high[i] - low[i]) for i in range(k)] + [wide(high[(i + 1) % k] + 180.0 * (i + 1 == k) - low[i]) for i in range(k)]
+    found += [low[i].isNotNull() & low[j].isNotNull() for i in range(k) for j in range(i + 2, k) if i + k - j > 1]
+    return (F.count(inside) >= 4) & reduce(lambda p, q: p | q, found)

@@ -91,8 +91,9 @@ def dataset_build_id(spark, d):
 
 
 def orientation_facts(spark, d):
-    e = table(spark, d, "events").groupBy("user_id").agg(F.sort_array(F.collect_list(F.round("value", 3))).alias("v"))
-    return e.select("user_id", F.round(R.top_gap(F.col("v")), 6).alias("gap"), R.nearest_cardinal(F.try_element_at("v", F.lit(1))).alias("cardinal"), R.confusable_orientation(F.slice("v", 1, 12)).alias("mixed"))
+    v = F.round("value", 3)
+    e = table(spark, d, "events").groupBy("user_id").agg(F.sort_array(F.collect_list(v)).alias("v"), R.confusable_orientation(v).alias("mixed"))
+    return e.select("user_id", F.round(R.top_gap(F.col("v")), 6).alias("gap"), R.nearest_cardinal(F.try_element_at("v", F.lit(1))).alias("cardinal"), "mixed")
 
 
 QUERIES = {f.__name__: f for f in (token_spans, field_decoding, type_decoding, hard_negatives, sequence_windows, recognition_report, critical_fields, token_noise, noisy_examples, page_deskew, dataset_build_id, orientation_facts)}

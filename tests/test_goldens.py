@@ -303,3 +303,26 @@ def test_sizes_and_flags(spark):
     df = spark.createDataFrame([(10.0, "Yes "), (2048.0, "n"), (244352.0, None), (5.0 * 1024**3, "1"), (None, "")], "n double, t string")
     got = df.select(X.human_bytes(F.col("n")), X.truth(F.col("t"))).collect()
     assert [x[0] for x in got] == ["10 B", "2.00 KB", "238.62 KB", "5.00 GB", None] and [x[1] for x in got] == [True, False, False, True, False]
+
+
+def test_orientation_compares_all_angles(spark, tmp_path):
+    """Angles that are apart only beyond the twelve smallest, and against all pairs."""
+    import random
+
+    from folioflow.plans.catalog import QUERIES
+
+    r = random.Random(6)
+    values = {0: [1.0] * 14 + [80.0], 1: [1.0] * 40, 2: [0.0, 90.0, 45.0], 3: [5.0, 175.0, 355.0, -4.0, 184.0], 4: [10.0, 10.0, 10.0, 40.0], 5: [10.0, 10.0, 10.0, 39.999], 6: [float("nan"), float("inf"), 3.0, 90.0, 5.0]}
+    for u in range(7, 90):
+        start, width = r.uniform(-400, 400), r.uniform(10, 50)
+        values[u] = [round(start + r.uniform(0, width) + 180 * r.randrange(3), 3) for _ in range(r.choice([4, 9, 30]))]
+
+    def mixed(v):
+        v = [x for x in v if math.isfinite(x)]
+        gaps = [min(d, 180 - d) for a in v for b in v for d in [abs(a - b) % 180]]
+        return len(v) >= 4 and max(gaps) >= 30 - 1e-9
+
+    spark.createDataFrame([(u, x) for u, v in values.items() for x in v], "user_id int, value double").write.parquet(f"{tmp_path}/events.parquet")
+    got = {x.user_id: x.mixed for x in QUERIES["orientation_facts"](spark, str(tmp_path)).collect()}
+    want = {u: mixed(v) for u, v in values.items()}
+    assert got == want and 10 < sum(want.values()) < 80
