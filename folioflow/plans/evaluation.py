@@ -10,23 +10,27 @@ from folioflow.sources.tables import current_rows, table
 
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Each document's first line as reference and its second as prediction."""
-    at = lambda i: F.coalesce(F.try_element_at(F.split("text", "\n"), F.lit(i)), F.lit(""))
-    return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", "source", at(1).alias("previous"), at(2).alias("line"))
+    """Each document's lines as references and the lines after them as predictions (of a single line, an empty one)."""
+    lines = F.split("text", "\n")
+    n = F.greatest(F.lit(1), F.size(lines) - 1)
+    after = F.when(F.size(lines) > 1, F.slice(lines, 2, n)).otherwise(F.array(F.lit("")))
+    return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", "source", F.arrays_zip(F.slice(lines, 1, n).alias("previous"), after.alias("line")).alias("pairs"))
 
 
 def cer_pairs(spark, d):
-    return _pairs(spark, d).select("doc_id", M.character_errors(F.col("previous"), F.col("line")).alias("errors"), F.length("previous").alias("characters"), M.ratio(M.character_errors(F.col("previous"), F.col("line")), F.length("previous")).alias("cer"))
+    total = lambda f: F.aggregate(F.transform("pairs", f), F.lit(0).cast("long"), lambda acc, x: acc + x)
+    p = _pairs(spark, d).select("doc_id", total(lambda p: M.character_errors(p.previous, p.line)).alias("errors"), total(lambda p: F.length(p.previous)).alias("characters"))
+    return p.withColumn("cer", M.ratio(F.col("errors"), F.col("characters")))
 
 
 def cer_by_source(spark, d):
     """Corpus error rate per source: summed errors over summed characters."""
-    p = _pairs(spark, d).select("source", M.character_errors(F.col("previous"), F.col("line")).alias("e"), F.length("previous").alias("n"))
+    p = _pairs(spark, d).select("source", F.inline("pairs")).select("source", M.character_errors(F.col("previous"), F.col("line")).alias("e"), F.length("previous").alias("n"))
     return p.groupBy("source").agg(F.sum("e").alias("errors"), F.sum("n").alias("characters"), M.ratio(F.sum("e"), F.sum("n")).alias("cer"))
 
 
 def word_errors(spark, d):
-    p = _pairs(spark, d).select("source", word_distance(F.col("previous"), F.col("line")).alias("e"), F.size(F.filter(F.split(F.trim("previous"), r"\s+"), lambda x: x != "")).alias("n"))
+    p = _pairs(spark, d).select("source", F.inline("pairs")).select("source", word_distance(F.col("previous"), F.col("line")).alias("e"), F.size(F.filter(F.split(F.trim("previous"), r"\s+"), lambda x: x != "")).alias("n"))
     return p.groupBy("source").agg(F.sum("e").alias("errors"), F.sum("n").alias("words"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from folioflow.functions import noise as N
 from folioflow.operators import learning as L, recognition as R
@@ -52,7 +52,8 @@ def sequence_windows(spark, d):
 
 def recognition_report(spark, d):
     """Neighbouring invoice lines as reference and prediction, by kind of line."""
-    l = invoice_lines(spark, d).where("line_no IN (2, 3)").groupBy("doc_id").agg(F.max(F.when(F.col("line_no") == 2, F.col("text"))).alias("ref"), F.max(F.when(F.col("line_no") == 3, F.col("text"))).alias("pred"), F.max("confidence").alias("confidence"))
+    w = W.partitionBy("doc_id").orderBy("line_no")
+    l = invoice_lines(spark, d).select("doc_id", F.col("text").alias("ref"), F.lead("text").over(w).alias("pred"), F.greatest("confidence", F.lead("confidence").over(w)).alias("confidence"), F.lead("line_no").over(w).alias("next")).where("next IS NOT NULL")
     s = R.samples(l.withColumn("kind", F.when(F.col("doc_id") % 2 == 0, "date").otherwise("amount")), "ref", "pred", "kind")
     c = R.corpus(s, ["kind"], "confidence")
     return c.select("kind", "samples", "characters", "errors", F.round("cer", 9).alias("cer"), "exact", "numeric_exact", F.round("brier", 9).alias("brier"))

@@ -326,3 +326,25 @@ def test_orientation_compares_all_angles(spark, tmp_path):
     got = {x.user_id: x.mixed for x in QUERIES["orientation_facts"](spark, str(tmp_path)).collect()}
     want = {u: mixed(v) for u, v in values.items()}
     assert got == want and 10 < sum(want.values()) < 80
+
+
+def test_error_rates_over_all_lines(spark, tmp_path):
+    from folioflow.plans.catalog import QUERIES
+
+    rows = [(1, "a", "kitten\nsitting\nsit in\nsit"), (2, "a", "one line"), (3, "b", "x y\nx y\nx z y"), (4, "b", None), (5, "c", "")]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {name: {r[0]: tuple(r)[1:] for r in QUERIES[name](spark, str(tmp_path)).collect()} for name in ("cer_pairs", "cer_by_source", "word_errors")}
+    # kitten/sitting 3, sitting/sit in 2, sit in/sit 3; a single line against nothing; x y/x y 0, x y/x z y 2
+    assert got["cer_pairs"] == {1: (8, 19, 8 / 19), 2: (8, 8, 1.0), 3: (2, 6, 2 / 6), 5: (0, 0, None)}
+    assert got["cer_by_source"] == {"a": (16, 27, 16 / 27), "b": (2, 6, 2 / 6), "c": (0, 0, None)}
+    assert got["word_errors"] == {"a": (6, 6), "b": (1, 4), "c": (0, 0)}
+
+
+def test_recognition_over_all_invoice_lines(spark, sf):
+    from folioflow.plans.catalog import QUERIES
+    from folioflow.sources.lines import invoice_lines
+
+    lines = invoice_lines(spark, sf)
+    got = QUERIES["recognition_report"](spark, sf).agg(F.sum("samples"), F.sum("characters")).first()
+    assert got[0] == 7 * lines.select("doc_id").distinct().count() > 0
+    assert got[1] == lines.where("line_no < 7").select(F.sum(F.length(X.folded(F.col("text"))))).first()[0]
