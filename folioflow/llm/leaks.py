@@ -137,9 +137,10 @@ def blocks(fingerprints: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Items:
-    """The evaluation items: a fixed, small table, held by every worker."""
+    """The evaluation items: a fixed, small table, held by every worker; ``owners`` has the rows of each distinct text."""
 
     ids: list[int]
+    owners: list[list[int]]
     codes: list[np.ndarray]
     weights: list[np.ndarray]
     owner: np.ndarray
@@ -159,11 +160,13 @@ def strip_instructions(texts: list[str], shared: int = 3) -> list[str]:
 
 def prepare_items(rows: list[tuple[int, str | None]]) -> Items:
     rows = [(i, t) for i, t in rows if i is not None]
-    texts = strip_instructions([t or "" for _, t in rows])
-    codes = []
-    for t in texts:
-        c, _ = fold([t])
-        codes.append(c)
+    given: dict[bytes, list[int]] = {}
+    for n, (_, t) in enumerate(rows):  # equal items are one, so that they don't pass for common phrases
+        given.setdefault(fold([t])[0].tobytes(), []).append(n)
+    classes: dict[bytes, list[int]] = {}
+    for t, own in zip(strip_instructions([rows[own[0]][1] or "" for own in given.values()]), given.values()):
+        classes.setdefault(fold([t])[0].tobytes(), []).extend(own)
+    codes = [np.frombuffer(c, np.uint32) for c in classes]
     hashes = [shingle_hashes(c) for c in codes]
     owner, offset, prints = [], [], []
     for n, h in enumerate(hashes):
@@ -176,6 +179,10 @@ def prepare_items(rows: list[tuple[int, str | None]]) -> Items:
     values, counts = np.unique(key[0], return_counts=True)
     spread = counts[np.searchsorted(values, pri.view(np.int64))] if len(pri) else np.zeros(0)
     rare = spread <= 2  # windows of phrases that several items use tell nothing
+    # unless the rest is so little that a case needn't hold enough of it
+    least = [(1 - COVERED + CANDIDATE) * max(0, len(h) - WINDOW + 1) for h in hashes]
+    few = np.bincount(own[rare].astype(np.int64), minlength=len(hashes)) < least
+    rare |= few[own.astype(np.int64)]
     rare &= off % STRIDE == 0
     own, off, pri = own[rare], off[rare], pri[rare]
     df = Counter()
@@ -187,8 +194,8 @@ def prepare_items(rows: list[tuple[int, str | None]]) -> Items:
         by = np.argsort(b, kind="stable")
         order.append(by)
         starts.append(np.searchsorted(b[by], np.arange((1 << (64 // BLOCKS)) + 1)))
-    sizes = np.array([max(1, (own == n).sum()) for n in range(len(rows))])
-    return Items([i for i, _ in rows], codes, weights, own, off, pri, starts, order, np.maximum(2, np.ceil(sizes * CANDIDATE)))
+    sizes = np.array([max(1, (own == n).sum()) for n in range(len(codes))])
+    return Items([i for i, _ in rows], list(classes.values()), codes, weights, own, off, pri, starts, order, np.maximum(2, np.ceil(sizes * CANDIDATE)))
 
 
 def near(items: Items, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -273,7 +280,7 @@ def find_leaks(documents: DataFrame, key: str, text: str, items: list[tuple[int,
     to every worker.  Each batch of documents is folded, fingerprinted window
     by window, looked up in the items' Hamming blocks and verified, whole texts
     and without a shuffle.  Null, empty and blank texts, items shorter than a
-    window and null keys leak nothing; repeated documents each have their rows.
+    window and null keys leak nothing; repeated documents and items each have their rows.
     """
     rows = documents.where(documents[key].isNotNull()).select(key, documents[text].alias("_text"))
     shared = documents.sparkSession.sparkContext.broadcast(items)
@@ -309,7 +316,8 @@ def leaks_in(items: Items, texts: list[str | None], least: float) -> Iterator[tu
     for d, item in pair[:, n >= items.needed[pair[1]]].T.tolist():
         c = coverage(items.codes[item], items.weights[item], codes[ends[d] : ends[d + 1]])
         if c >= least:
-            yield d, item, c
+            for n in items.owners[item]:
+                yield d, n, c
 
 
 def leaks(spark: SparkSession, sf_dir: str) -> DataFrame:

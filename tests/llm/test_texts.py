@@ -69,6 +69,12 @@ def test_leaks_in_every_disguise():
     assert found([FILL + THAI, THAI.replace(" ", "\n")]) == {(0, 1), (1, 1)}
 
 
+def test_leaks_of_repeated_items_and_shared_passages():
+    assert found([FILL + ITEM + FILL, FILL], items=[(n, ITEM) for n in range(3)]) == {(0, n) for n in range(3)}
+    asked = [(n, f"{ITEM} {q}") for n, q in enumerate(("Who took charge of it?", "Where does the rate stay?", "How many days did it take?"))]
+    assert found([FILL + ITEM + FILL, FILL], items=asked) == {(0, n) for n in range(3)}
+
+
 def test_what_is_no_leak():
     short = ITEM[: len(ITEM) // 4]
     shuffled = " ".join(random.Random(3).sample(ITEM.split(), len(ITEM.split())))
