@@ -8,12 +8,13 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
 from difflib import SequenceMatcher
-from statistics import fmean, median
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -28,20 +29,63 @@ HEADERS = {
 }
 BOX = ["x0", "y0", "x1", "y1"]
 BAND = 64.0
+#: Width and height of the cells in which boxes of two readings meet.
+CELL = (128.0, 32.0)
 ROWS = 512
 
 
 def per_page(df: DataFrame, page: str, kernel, schema) -> DataFrame:
-    """``kernel`` maps a page's columns (name -> list) to result columns; Arrow in, Arrow out."""
-    spark = df.sparkSession
-    out = spark.createDataFrame([], schema).schema
+    """``kernel`` maps a page's columns (name -> list) to result columns; Arrow in, Arrow out.
+
+    Pages are hashed over the tasks and sorted, and each task walks through its
+    pages: an exchange between processes holds many small pages, and no more
+    than one page is kept back.
+    """
+    out = df.sparkSession.createDataFrame([], schema).schema
     arrow = to_arrow_schema(out)
 
-    def run(table: pa.Table) -> pa.Table:
-        result = kernel(table.to_pydict())
+    def done(parts: list[pa.Table]) -> pa.Table:
+        whole = pa.concat_tables(parts)
+        result = kernel(whole.to_pydict())
         return pa.table([pa.array(result[f.name], f.type) for f in arrow], schema=arrow)
 
-    return df.groupBy(page).applyInArrow(run, out)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        for b in batches:
+            t, ready = pa.Table.from_batches([b]), []
+            if not b.num_rows:
+                continue
+            if held and not _same(held[-1].column(page)[-1], t.column(page)[0]):
+                ready.append(done(held))
+                held = []
+            cuts = [0, *_changes(b.column(page)), b.num_rows]
+            for start, end in zip(cuts[:-1], cuts[1:]):
+                held.append(t.slice(start, end - start))
+                if end < b.num_rows:
+                    ready.append(done(held))
+                    held = []
+            if ready:
+                yield from pa.concat_tables(ready).combine_chunks().to_batches()
+        if held:
+            yield from done(held).to_batches()
+
+    return spread(df, page).sortWithinPartitions(page).mapInArrow(run, out)
+
+
+def _same(a: pa.Scalar, b: pa.Scalar) -> bool:
+    return a.as_py() == b.as_py()
+
+
+def _changes(keys: pa.Array) -> list[int]:
+    """Places (from 1) whose key differs from the one before; nulls are equal."""
+    a, b = keys.slice(1), keys.slice(0, len(keys) - 1)
+    torn = pc.or_(pc.xor(pc.is_null(a), pc.is_null(b)), pc.fill_null(pc.not_equal(a, b), False))
+    return (np.flatnonzero(torn.to_numpy(zero_copy_only=False)) + 1).tolist()
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows hashed by ``keys`` over all shuffle partitions: a kernel's work isn't in proportion to its bytes, so they aren't merged by size."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
 def _corners(b) -> list[tuple[float, float]]:
@@ -63,17 +107,21 @@ def _greedy(pairs: list[tuple]) -> list[tuple]:
 def match_boxes(reference: DataFrame, predicted: DataFrame, page: str, least: float = 0.5) -> DataFrame:
     """(page, ref_id, pred_id, iou): one-to-one matches of boxes by overlap, best first.
 
-    Overlapping pairs come from a join on the page and the BAND of pixels in
+    Overlapping pairs come from a join on the page and the CELL of pixels in
     which the common part begins; only these pairs reach the page kernel.
     """
-    bands = lambda: F.explode(F.sequence(F.floor(F.col("y0") / BAND), F.floor(F.greatest("y0", "y1") / BAND))).alias("_band")
-    r = reference.select(page, F.col("id").alias("ref_id"), *[F.col(c).alias(f"r_{c}") for c in BOX], bands())
-    p = predicted.select(page, F.col("id").alias("pred_id"), *[F.col(c).alias(f"p_{c}") for c in BOX], bands())
+    span = lambda lo, hi, size: F.sequence(F.floor(F.col(lo) / size), F.floor(F.greatest(lo, hi) / size))
+
+    def celled(df: DataFrame, side: str, name: str) -> DataFrame:
+        own = df.select(page, F.col("id").alias(name), *[F.col(c).alias(f"{side}_{c}") for c in BOX])
+        return own.withColumn("_row", F.explode(span(f"{side}_y0", f"{side}_y1", CELL[1]))).withColumn("_col", F.explode(span(f"{side}_x0", f"{side}_x1", CELL[0])))
+
+    r, p = celled(reference, "r", "ref_id"), celled(predicted, "p", "pred_id")
     w = F.least("r_x1", "p_x1") - F.greatest("r_x0", "p_x0")
     h = F.least("r_y1", "p_y1") - F.greatest("r_y0", "p_y0")
     size = lambda a: (F.col(f"{a}_x1") - F.col(f"{a}_x0")) * (F.col(f"{a}_y1") - F.col(f"{a}_y0"))
-    first = F.floor(F.greatest("r_y0", "p_y0") / BAND) == F.col("_band")
-    pairs = r.join(p, [page, "_band"]).where(first & (w > 0) & (h > 0)).select(page, "ref_id", "pred_id", (w * h / (size("r") + size("p") - w * h)).alias("iou")).where(F.col("iou") >= least)
+    first = (F.floor(F.greatest("r_y0", "p_y0") / CELL[1]) == F.col("_row")) & (F.floor(F.greatest("r_x0", "p_x0") / CELL[0]) == F.col("_col"))
+    pairs = r.join(p, [page, "_row", "_col"]).where(first & (w > 0) & (h > 0)).select(page, "ref_id", "pred_id", (w * h / (size("r") + size("p") - w * h)).alias("iou")).where(F.col("iou") >= least)
     key = pairs.schema[page].dataType.simpleString()
     types = pairs.schema["ref_id"].dataType.simpleString(), pairs.schema["pred_id"].dataType.simpleString()
 
@@ -109,31 +157,56 @@ def suppress(words: DataFrame, page: str, least: float = 0.5) -> DataFrame:
     return per_page(words, page, kernel, words.schema)
 
 
-def _rows_of(boxes: list[tuple], tolerance: float, order) -> list[list[int]]:
-    """Indices clustered into rows: a box joins the first row whose mean centre is within reach."""
-    rows: list[list[int]] = []
-    means: list[float] = []
-    centre = [(b[1] + b[3]) / 2 for b in boxes]
-    for i in sorted(range(len(boxes)), key=lambda i: order(boxes[i])):
-        home = next((n for n, m in enumerate(means) if abs(centre[i] - m) <= tolerance), None)
-        if home is None:
-            rows.append([i])
-            means.append(centre[i])
-        else:
-            rows[home].append(i)
-            means[home] += (centre[i] - means[home]) / len(rows[home])
+class Means:
+    """Rows of boxes as running means of their centres, kept in one array."""
+
+    def __init__(self, most: int):
+        self.mean = np.empty(most)
+        self.size = np.zeros(most, np.int64)
+        self.used = 0
+
+    def place(self, centre: float, reach: float) -> int:
+        """The oldest row whose mean lies within ``reach`` of ``centre``, or a new one."""
+        close = np.abs(self.mean[: self.used] - centre) <= reach
+        row = int(close.argmax()) if close.any() else self.used
+        if row == self.used:
+            self.mean[row], self.used = 0.0, row + 1
+        self.size[row] += 1
+        self.mean[row] += (centre - self.mean[row]) / self.size[row]
+        return row
+
+
+def row_numbers(boxes: np.ndarray, share: float, order: np.ndarray) -> np.ndarray:
+    """The row of every box (0 is the oldest), taken in ``order``; rows reach ``share`` of the median height."""
+    reach = max(2.0, share * float(np.median(np.maximum(1.0, boxes[:, 3] - boxes[:, 1]))))
+    centres = (boxes[:, 1] + boxes[:, 3]) / 2
+    means, rows = Means(len(boxes)), np.empty(len(boxes), np.int64)
+    for i in order.tolist():
+        rows[i] = means.place(centres[i], reach)
     return rows
 
 
+def _boxes(c: dict) -> np.ndarray:
+    return np.column_stack([np.asarray(c[n], float) for n in BOX])
+
+
 def reading_order(words: DataFrame, page: str) -> DataFrame:
-    """Adds position: rows from the top, words from the left."""
+    """Adds position: rows from the top, words from the left.
+
+    Rows gather words from the top down whose centre lies within 0.6 of the
+    median height of the row's mean; rows are ordered by the mean of their
+    centres, words of a row by their left edge and then as given.
+    """
     def kernel(c: dict) -> dict:
-        boxes = list(zip(*(c[n] for n in BOX)))
-        reach = max(2.0, 0.6 * median(max(1.0, b[3] - b[1]) for b in boxes))
-        rows = _rows_of(boxes, reach, lambda b: (b[1], b[0]))
-        rows.sort(key=lambda r: fmean((boxes[i][1] + boxes[i][3]) / 2 for i in r))
-        place = {i: n for n, i in enumerate(i for r in rows for i in sorted(r, key=lambda i: boxes[i][0]))}
-        return {**c, "position": [place[i] for i in range(len(boxes))]}
+        boxes = _boxes(c)
+        rows = row_numbers(boxes, 0.6, np.lexsort((boxes[:, 0], boxes[:, 1])))
+        centres = (boxes[:, 1] + boxes[:, 3]) / 2
+        mean = np.bincount(rows, centres) / np.bincount(rows)
+        rank = np.empty(len(mean), np.int64)
+        rank[np.argsort(mean, kind="stable")] = np.arange(len(mean))
+        position = np.empty(len(boxes), np.int64)
+        position[np.lexsort((boxes[:, 0], rank[rows]))] = np.arange(len(boxes))
+        return {**c, "position": position}
 
     return per_page(words, page, kernel, _with(words, position="integer"))
 
@@ -147,49 +220,96 @@ def _with(df: DataFrame, **columns: str):
     return schema
 
 
+def header_meanings(said: list[str]) -> list[str | None]:
+    """What the header words in each text stand for."""
+    return [next((name for name, words in HEADERS.items() if any(w in t for w in words)), None) for t in said]
+
+
 def table_grid(cells: DataFrame, page: str) -> DataFrame:
-    """Adds row_index, column_index, row_type and semantic to table cells; pages with one cell are left out."""
+    """Adds row_index, column_index, row_type and semantic to table cells; pages with one cell are left out.
+
+    The header is the first of the two topmost rows with two header words; it
+    gives its columns their meaning, rows below it are items, all else is unknown.
+    """
     def kernel(c: dict) -> dict:
-        boxes = list(zip(*(c[n] for n in BOX)))
+        boxes = _boxes(c)
         if len(boxes) < 2:
             return {n: [] for n in (*c, "row_index", "column_index", "row_type", "semantic")}
-        reach = max(2.0, 0.7 * median(max(1.0, b[3] - b[1]) for b in boxes))
-        rows = [sorted(r, key=lambda i: boxes[i][0]) for r in _rows_of(boxes, reach, lambda b: ((b[1] + b[3]) / 2, b[0]))]
-        said = [(t or "").casefold() for t in c["text"]]
-        header, meaning = None, {}
-        for n, r in enumerate(rows[:2]):
-            found = {k: m for k, i in enumerate(r) if (m := next((k for k, ws in HEADERS.items() if any(w in said[i] for w in ws)), None))}
-            if len(found) >= 2:
-                header, meaning = n, found
+        rows = row_numbers(boxes, 0.7, np.lexsort((boxes[:, 0], (boxes[:, 1] + boxes[:, 3]) / 2)))
+        by = np.lexsort((boxes[:, 0], rows))
+        starts = np.searchsorted(rows[by], np.arange(rows.max() + 2))
+        columns = np.empty(len(boxes), np.int64)
+        columns[by] = np.arange(len(boxes)) - starts[rows[by]]
+        header, named = len(starts), {}
+        for n in range(min(2, len(starts) - 1)):
+            found = header_meanings([(c["text"][i] or "").casefold() for i in by[starts[n] : starts[n + 1]]])
+            if sum(m is not None for m in found) >= 2:
+                header, named = n, dict(enumerate(found))
                 break
-        at = {i: (n, k) for n, r in enumerate(rows) for k, i in enumerate(r)}
-        kind = lambda n: "unknown" if header is None or n < header else "header" if n == header else "item"
-        each = [at[i] for i in range(len(boxes))]
-        return {**c, "row_index": [n for n, _ in each], "column_index": [k for _, k in each], "row_type": [kind(n) for n, _ in each], "semantic": [meaning.get(k, "unknown") for _, k in each]}
+        kinds = np.select([np.full(len(rows), header == len(starts)), rows < header, rows == header], ["unknown", "unknown", "header"], "item")
+        return {**c, "row_index": rows, "column_index": columns, "row_type": kinds.tolist(), "semantic": [named.get(k) or "unknown" for k in columns.tolist()]}
 
     return per_page(cells, page, kernel, _with(cells, row_index="integer", column_index="integer", row_type="string", semantic="string"))
 
 
+#: A word fits a line that it overlaps by this share of the lower of both, or
+#: whose bottom is this share of the taller of both away, with at most so many
+#: of its heights between them.
+LINE_OVERLAP, LINE_SHIFT, LINE_GAP = 0.35, 0.55, 12.0
+
+
+class OpenLines:
+    """The lines of a page so far, one array per edge, so a word meets all at once."""
+
+    def __init__(self, most: int):
+        self.box = np.empty((4, most))
+        self.height = np.empty(most)
+        self.used = 0
+
+    def fit(self, left: float, top: float, bottom: float) -> int:
+        """The line that a word fits best (overlap less relative shift; of equals the oldest), or -1."""
+        n = self.used
+        own, height = bottom - top, self.height[:n]
+        low, tall = np.minimum(height, own), np.maximum(height, own)
+        shared = np.minimum(self.box[3, :n], bottom) - np.maximum(self.box[1, :n], top)
+        overlap = np.maximum(shared, 0.0) / np.where(low > 0, low, np.inf)
+        shift = np.abs(self.box[3, :n] - bottom)
+        fits = ((overlap >= LINE_OVERLAP) | (shift <= LINE_SHIFT * tall)) & (left - self.box[2, :n] <= LINE_GAP * tall)
+        at = np.flatnonzero(fits)
+        if len(at) > 1:
+            return int(at[(overlap[at] - shift[at] / np.maximum(tall[at], 1.0)).argmax()])
+        return int(at[0]) if len(at) else -1
+
+    def take(self, line: int, word: list[float]) -> int:
+        """Adds a word to a line, or opens one for it."""
+        if line < 0:
+            line, self.used = self.used, self.used + 1
+            self.box[:, line] = word
+        else:
+            x0, y0, x1, y1 = self.box[:, line].tolist()
+            self.box[:, line] = min(x0, word[0]), min(y0, word[1]), max(x1, word[2]), max(y1, word[3])
+        self.height[line] = self.box[3, line] - self.box[1, line]
+        return line
+
+
 def line_groups(words: DataFrame, page: str) -> DataFrame:
-    """(page, line_no, text, box): words joined to lines by overlap, baseline and gap."""
+    """(page, line_no, text, box): words joined to lines by overlap, baseline and gap, from the top left on."""
     def kernel(c: dict) -> dict:
-        words_ = sorted(zip(c["y0"], c["x0"], c["text"], c["x1"], c["y1"]))
-        lines: list[dict] = []
-        for top, left, text, right, bottom in words_:
-            best, score = None, float("-inf")
-            for ln in lines:
-                tall, small = max(ln["y1"] - ln["y0"], bottom - top), min(ln["y1"] - ln["y0"], bottom - top)
-                common = max(0.0, min(ln["y1"], bottom) - max(ln["y0"], top)) / small if small > 0 else 0.0
-                shift = abs(ln["y1"] - bottom)
-                if (common >= 0.35 or shift <= 0.55 * tall) and left - ln["x1"] <= 12 * tall and common - shift / max(tall, 1.0) > score:
-                    best, score = ln, common - shift / max(tall, 1.0)
-            if best is None:
-                lines.append({"w": [(left, top, text)], "x0": left, "y0": top, "x1": right, "y1": bottom})
-            else:
-                best["w"].append((left, top, text))
-                best.update(x0=min(best["x0"], left), y0=min(best["y0"], top), x1=max(best["x1"], right), y1=max(best["y1"], bottom))
-        lines.sort(key=lambda ln: (ln["y0"], ln["x0"]))
-        return {page: c[page][:1] * len(lines), "line_no": list(range(len(lines))), "text": [" ".join(w[2] for w in sorted(ln["w"])) for ln in lines], **{n: [ln[n] for ln in lines] for n in BOX}}
+        boxes, said = _boxes(c), [t or "" for t in c["text"]]
+        lines, home = OpenLines(len(boxes)), np.empty(len(boxes), np.int64)
+        texts = np.empty(len(said), object)
+        texts[:] = said
+        order = sorted(range(len(boxes)), key=lambda i: (boxes[i, 1], boxes[i, 0], said[i], boxes[i, 2], boxes[i, 3]))
+        given = boxes.tolist()
+        for i in order:
+            x0, y0, _, y1 = given[i]
+            home[i] = lines.take(lines.fit(x0, y0, y1), given[i])
+        box = lines.box[:, : lines.used]
+        rank = np.empty(lines.used, np.int64)
+        rank[by := np.lexsort((box[0], box[1]))] = np.arange(lines.used)
+        inner = sorted(range(len(boxes)), key=lambda i: (rank[home[i]], boxes[i, 0], boxes[i, 1], said[i]))
+        cuts = np.searchsorted(rank[home[inner]], np.arange(1, lines.used))
+        return {page: c[page][:1] * lines.used, "line_no": np.arange(lines.used), "text": [" ".join(part) for part in np.split(texts[inner], cuts)], **{n: box[k][by] for k, n in enumerate(BOX)}}
 
     return per_page(words, page, kernel, f"{page} {words.schema[page].dataType.simpleString()}, line_no int, text string, x0 double, y0 double, x1 double, y1 double")
 
@@ -199,13 +319,33 @@ def plain(text: str | None) -> str:
     return re.sub(r"[^\w฀-๿]+", "", unicodedata.normalize("NFKC", text or "").casefold().replace("i̇", "i"))
 
 
+# Names of the ways in which two texts agree, and the bonus and ceiling of a containment.
+EXACT, WITHIN, AROUND, ALIKE = "exact", "ocr_contains_annotation", "annotation_contains_ocr", "similarity"
+BONUS, CEILING = 0.25, 0.98
+
+
+def text_scores(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Score and kind of every pair (a[i], b[i]) of plain texts, as arrays.
+
+    The share of the longer text that the shorter makes up counts for a
+    containment of two characters or more; only pairs that neither equal nor
+    contain each other are compared block by block.
+    """
+    na, nb = (np.fromiter(map(len, x), np.int64, len(x)) for x in (a, b))
+    within = (na >= 2) & np.fromiter((x in y for x, y in zip(a, b)), bool, len(a))
+    around = (nb >= 2) & np.fromiter((y in x for x, y in zip(a, b)), bool, len(a))
+    kinds = np.select([a == b, within, around], [EXACT, WITHIN, AROUND], ALIKE)
+    share = np.minimum(na, nb) / np.maximum(1, np.maximum(na, nb))
+    scores = np.where(kinds == EXACT, 1.0, np.minimum(CEILING, share + BONUS))
+    rest = np.flatnonzero(kinds == ALIKE)
+    scores[rest] = [SequenceMatcher(None, a[i], b[i]).ratio() for i in rest]
+    return scores, kinds
+
+
 def text_score(source: str, other: str) -> tuple[float, str]:
-    if source == other:
-        return 1.0, "exact"
-    for inner, outer, kind in ((source, other, "ocr_contains_annotation"), (other, source, "annotation_contains_ocr")):
-        if len(inner) >= 2 and inner in outer:
-            return min(0.98, len(inner) / max(1, len(outer)) + 0.25), kind
-    return SequenceMatcher(None, source, other).ratio(), "similarity"
+    """:func:`text_scores` of one pair."""
+    s, k = text_scores(np.array([source], object), np.array([other], object))
+    return float(s[0]), str(k[0])
 
 
 def ratio_bounds(a: list[str], b: list[str]) -> np.ndarray:
@@ -240,23 +380,25 @@ def scored_pairs(ta: list[str], tb: list[str], boxes_a: np.ndarray, boxes_b: np.
     """(score, i, j, kind) of all pairs that reach ``least``; texts are compared once per distinct pair, and only where they can reach it."""
     ua, ia = np.unique(np.array(ta, object), return_inverse=True)
     ub, ib = np.unique(np.array(tb, object), return_inverse=True)
+    # the nearest that any two words of a pair of texts come, row by row so that memory stays small
+    nearest = np.zeros((len(ua), len(ub)))
+    for start in range(0, len(ta), ROWS):
+        place = place_scores(boxes_a[start : start + ROWS], boxes_b)
+        at = np.broadcast_to(ia[start : start + ROWS, None], place.shape)
+        np.maximum.at(nearest, (at, np.broadcast_to(ib, place.shape)), place)
+    held = np.array([[x in y or y in x for y in ub] for x in ua])
+    some = np.array([bool(x) for x in ua])[:, None] & np.array([bool(y) for y in ub])
+    k, j = np.nonzero(some & (held | (0.7 * ratio_bounds(list(ua), list(ub)) + 0.3 * nearest >= least)))
+    scores, kinds = text_scores(ua[k], ub[j])
+    text = np.full(nearest.shape, -np.inf)
+    kind = np.empty(nearest.shape, object)
+    text[k, j], kind[k, j] = scores, kinds
     out: list[tuple] = []
-    bounds = ratio_bounds(list(ua), list(ub))
-    text = np.zeros(bounds.shape)
-    kinds: dict[tuple[int, int], str] = {}
-    for start in range(0, len(ta), ROWS):  # rows in slices: memory stays small on a page of many words
+    for start in range(0, len(ta), ROWS):
         rows = ia[start : start + ROWS]
-        place = place_scores(boxes_a[start : start + ROWS], boxes_b)
-        for k in np.unique(rows):
-            best = np.zeros(len(ub))
-            np.maximum.at(best, ib, place[rows == k].max(0))
-            for j in range(len(ub)):
-                x, y = ua[k], ub[j]
-                if (int(k), j) not in kinds and x and y and (0.7 * bounds[k, j] + 0.3 * best[j] >= least or x in y or y in x):
-                    text[k, j], kinds[int(k), j] = text_score(x, y)
-        score = 0.7 * text[rows][:, ib] + 0.3 * place
-        known = text[rows][:, ib] > 0
-        out.extend((float(score[i, j]), start + int(i), int(j), kinds[int(rows[i]), int(ib[j])]) for i, j in zip(*np.nonzero((score >= least) & known)))
+        score = 0.7 * text[rows][:, ib] + 0.3 * place_scores(boxes_a[start : start + ROWS], boxes_b)
+        i, n = np.nonzero(score >= least)
+        out.extend(zip(score[i, n].tolist(), (start + i).tolist(), n.tolist(), map(str, kind[rows[i], ib[n]])))
     return out
 
 
@@ -284,4 +426,5 @@ def align(reference: DataFrame, other: DataFrame, page: str, least: float = 0.45
     key, ri, oi = reference.schema[page].dataType.simpleString(), reference.schema["id"].dataType.simpleString(), other.schema["id"].dataType.simpleString()
     # other names on the other side: both may stem from one table
     named = other.select(*[F.col(c).alias(f"other_{c}") for c in (page, "id", "text", *BOX)])
-    return reference.select(page, "id", "text", *BOX).groupBy(page).cogroup(named.groupBy(f"other_{page}")).applyInPandas(kernel, f"{page} {key}, ref_id {ri}, other_id {oi}, score double, kind string")
+    own = spread(reference.select(page, "id", "text", *BOX), page)
+    return own.groupBy(page).cogroup(spread(named, f"other_{page}").groupBy(f"other_{page}")).applyInPandas(kernel, f"{page} {key}, ref_id {ri}, other_id {oi}, score double, kind string")

@@ -2,22 +2,39 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from folioflow.functions import geometry as G
 from folioflow.operators import clusters as C, matching as M
 from folioflow.sources.lines import DOCUMENT_SQL, document_lines
 from folioflow.sources.tables import table
+from folioflow.storage import written
+
+
+def _words_of(batches):
+    """Words of lines with their offsets: one pass over the characters, column by column."""
+    for b in batches:
+        parts = pc.split_pattern(b.column(3), " ")
+        words, line = parts.flatten(), parts.value_parent_indices() if hasattr(parts, "value_parent_indices") else pc.list_parent_indices(parts)
+        line = line.to_numpy()
+        n = pc.utf8_length(words).to_numpy().astype(np.int64)
+        before = np.cumsum(n + 1) - (n + 1)
+        starts = np.searchsorted(line, np.arange(b.num_rows))
+        nth = np.arange(len(line)) - starts[line]
+        x0 = 8.0 * (before - before[np.minimum(starts, max(0, len(before) - 1))][line])
+        own = lambda i: b.column(i).take(pa.array(line))
+        ids = own(1).cast(pa.int64()).to_numpy() * 1_000_000 + nth
+        yield pa.RecordBatch.from_arrays([own(0), pa.array(ids), words, pa.array(x0), own(4), pa.array(x0 + 8.0 * n), own(5), own(6)], names=["doc_id", "id", "text", "x0", "y0", "x1", "y1", "confidence"])
 
 
 def _words(spark: SparkSession, d: str) -> DataFrame:
-    """Words of each document with boxes (8 x 16 pixels a character)."""
-    lines = document_lines(spark, d).select("doc_id", "line_no", "y0", "y1", "confidence", F.posexplode(F.split("text", " ")).alias("word_no", "text"), F.col("text").alias("line"))
-    lines = lines.where("text <> ''")
-    # left edge: characters before the word on its line
-    before = F.length(F.expr("substring_index(line, ' ', word_no)")) + F.when(F.col("word_no") > 0, 1).otherwise(0)
-    x0 = before * F.lit(8.0)
-    return lines.select("doc_id", (F.col("line_no").cast("bigint") * 1_000_000 + F.col("word_no")).alias("id"), "text", x0.alias("x0"), "y0", (x0 + F.length("text") * 8.0).alias("x1"), "y1", "confidence")
+    """Words of each document with boxes (8 x 16 pixels a character), written once for all that read them."""
+    lines = document_lines(spark, d).select("doc_id", "line_no", "page_number", "text", "y0", "y1", "confidence").where("text <> ''")
+    words = lines.mapInArrow(_words_of, "doc_id bigint, id bigint, text string, x0 double, y0 double, x1 double, y1 double, confidence double")
+    return written(words.where("text <> ''"), "words")
 
 
 def _shifted(words: DataFrame) -> DataFrame:
