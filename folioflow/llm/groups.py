@@ -68,7 +68,7 @@ def group_records(records: DataFrame, key: str, links: str) -> DataFrame:
     groups of one record have no row.
     """
     recs = written(records.where(F.col(key).isNotNull() & (F.size(links) > 0)).select(F.col(key).alias("rec"), F.col(links).alias("names"), F.element_at(links, 1).alias("anchor")), "records")
-    edges = recs.where(F.size("names") > 1).select("anchor", F.explode(F.slice("names", 2, 1000)).alias("other"))
+    edges = recs.where(F.size("names") > 1).select("anchor", F.explode(F.slice("names", F.lit(2), F.size("names") - 1)).alias("other"))
     roots = written(hash_to_min(edges, "anchor", "other"), "roots")
     flat = recs.select("rec", "anchor")
     named = written(lookup_join(flat, "anchor", roots, "node").select("rec", F.coalesce("root", "anchor").alias("root")), "named")

@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from folioflow.llm.groups import group_records, hash_to_min
 from folioflow.llm.sample import extend_numbers, golden_fraction, golden_sample, key_number
 from folioflow.llm.splits import PROPORTIONS, ComponentTable
@@ -118,3 +120,52 @@ def test_stored_numbers_grow_and_never_change(spark):
     known = spark.createDataFrame(list(first.items()), "k string, number long")
     both = {r.k: r.number for r in extend_numbers(day(range(80), 2).union(day([10], 1)), "k", ["at"], known).collect()}
     assert all(both[k] == n for k, n in first.items()) and sorted(both.values()) == list(range(80))
+
+
+def test_number_zero_is_a_number_and_reopened_tables_go_on(spark, tmp_path):
+    from folioflow.llm.sample import NumberTable, sampled
+
+    one = spark.createDataFrame([("a", 1)], "k string, at int")
+    known = extend_numbers(one, "k", ["at"])
+    assert {r.k: r.number for r in extend_numbers(spark.createDataFrame([("b", 1)], "k string, at int"), "k", ["at"], known).collect()} == {"a": 0, "b": 1}
+    path = "file://" + str(tmp_path / "n")
+    first = spark.range(2000).select(F.concat(F.lit("k"), "id").alias("k"), F.lit(2).alias("at"))
+    later = first.union(spark.range(2000, 6000).select(F.concat(F.lit("j"), "id").alias("k"), F.lit(1).alias("at"))).repartition(5)
+    a = {r.k for r in sampled(first, "k", ["at"], NumberTable(spark, path)).collect()}
+    b = {r.k for r in sampled(later, "k", ["at"], NumberTable(spark, path)).collect()}  # the table opened again; late keys sort first
+    assert a == {k for k in b if k[0] == "k"} and a == {r.k for r in sampled(first, "k", ["at"], NumberTable(spark, path)).collect()}
+    assert abs(len(a) - 200) <= 2 and abs(len(b) - 600) <= 2  # even over both stretches
+    numbers = sorted(r.number for r in NumberTable(spark, path).extend(later, "k", ["at"]).collect())
+    assert numbers == list(range(6000))
+    empty = spark.createDataFrame([(None, 1)], "k string, at int")
+    assert sampled(empty, "k", ["at"], NumberTable(spark, "file://" + str(tmp_path / "e"))).count() == 0
+
+
+def test_a_table_opened_again_goes_on_and_keeps_its_splits(spark, tmp_path):
+    path = "file://" + str(tmp_path / "c")
+    ComponentTable(spark, path).add(records(spark, [("a", ["x"], "train", ""), ("b", ["y"], None, ""), ("c", ["z"], "test", "")]), "id", "names", "split")
+    one = {r.rec: r for r in ComponentTable(spark, path).assignments().collect()}
+    again = ComponentTable(spark, path)
+    assert again.version == 1
+    # a comes again and is left as it was; d joins y; e joins x and z, which are torn
+    again.add(records(spark, [("a", ["z"], "test", ""), ("d", ["y"], None, ""), ("e", ["x", "z"], None, ""), ("f", ["x"], None, "")]), "id", "names", "split")
+    two = {r.rec: r for r in ComponentTable(spark, path).assignments().collect()}
+    assert two["b"].split == one["b"].split == two["d"].split and not two["b"].quarantined
+    assert {two[k].split for k in "acef"} == {"train"} and all(two[k].quarantined for k in "acef") and two["a"].named == ["test", "train"]
+    met = again.store.table("quarantine").collect()
+    assert [(sorted(r.splits), r.split, r.version) for r in met] == [(["test", "train"], "train", 2)]
+    # a third batch of one page moves nobody else
+    ComponentTable(spark, path).add(records(spark, [("g", ["y", "w"], "private_test", "")]), "id", "names", "split")
+    three = {r.rec: r for r in ComponentTable(spark, path).assignments().collect()}
+    assert all(three[k].split == two[k].split for k in two)
+    with pytest.raises(Exception):
+        again.store.add({}, {}, 2)  # another writer has taken version 3
+
+
+def test_no_name_of_a_record_is_cut(spark, tmp_path):
+    names = [f"n{i:04}" for i in range(1500)]
+    rows = [("a", names, "train", ""), ("b", [names[-1]], None, ""), ("c", [names[1200]], None, "")]
+    t = ComponentTable(spark, "file://" + str(tmp_path / "m"))
+    assert len({r.component for r in t.add(records(spark, rows), "id", "names", "split").collect()}) == 1
+    got = group_records(records(spark, rows).select("id", "names"), "id", "names")
+    assert {r.id: r.group_key for r in got.collect()} == {"a": "a", "b": "a", "c": "a"}
