@@ -49,6 +49,21 @@ def lookup_join(
     )
 
 
+def pairs_join(left: DataFrame, right: DataFrame, key: str, hot_of: DataFrame, salt: Column, hot: int = HOT) -> DataFrame:
+    """All pairs of ``left`` and ``right`` rows of equal ``key`` (which both have), hot keys spread.
+
+    The hottest keys of ``hot_of`` (a written table with ``key``) are told to
+    both sides: their left rows are spread over SALTS partitions by ``salt``
+    and their right rows repeated there, so no task meets a whole hot key.
+    Columns of the two sides need different names but for ``key``.
+    """
+    top = F.broadcast(hot_keys(hot_of, key, hot))
+    is_hot = F.col("_hot_key").isNotNull()
+    a = left.join(top, F.col(key) == F.col("_hot_key"), "left").withColumn("_salt", F.when(is_hot, salt).otherwise(F.lit(0)).cast("int")).drop("_hot_key")
+    b = right.join(top, F.col(key) == F.col("_hot_key"), "left").withColumn("_salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).drop("_hot_key")
+    return a.join(b, [key, "_salt"]).drop("_salt")
+
+
 def with_group_min(df: DataFrame, key: str, value: str, distinct: bool = False, hot: int = HOT) -> DataFrame:
     """``df`` with ``least`` (the smallest ``value``) and ``n`` (the rows) of each row's group, in one exchange.
 
