@@ -8,10 +8,11 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from folioflow.sources.tables import table
 
@@ -28,7 +29,11 @@ BLOCKS = RADIUS + 1
 #: Every so manieth window of an item is looked up; texts are looked up at every character.
 STRIDE = 4
 #: Share of an item's windows that a document must hit to become a candidate.
+#: ``exact=True`` looks up every window and verifies every document with a hit.
 CANDIDATE = 0.06
+#: The held-out items are taken in blocks of so many rows: what is sent to the
+#: workers is bounded, however many items there are.
+BLOCK_ITEMS = 20_000
 #: Share of the item that the aligned stretches have to cover.
 COVERED = 0.5
 #: Characters between two aligned stretches that still count as read through.
@@ -158,7 +163,8 @@ def strip_instructions(texts: list[str], shared: int = 3) -> list[str]:
     return [t[m.end() :] if m and counts[m.group().strip().casefold()] >= shared and len(t) > m.end() else t or "" for t, m in zip(texts, opening)]
 
 
-def prepare_items(rows: list[tuple[int, str | None]]) -> Items:
+def prepare_items(rows: list[tuple[int, str | None]], exact: bool = False) -> Items:
+    """The items as every worker needs them; ``exact`` keeps every window and asks for one hit."""
     rows = [(i, t) for i, t in rows if i is not None]
     given: dict[bytes, list[int]] = {}
     for n, (_, t) in enumerate(rows):  # equal items are one, so that they don't pass for common phrases
@@ -183,7 +189,7 @@ def prepare_items(rows: list[tuple[int, str | None]]) -> Items:
     least = [(1 - COVERED + CANDIDATE) * max(0, len(h) - WINDOW + 1) for h in hashes]
     few = np.bincount(own[rare].astype(np.int64), minlength=len(hashes)) < least
     rare |= few[own.astype(np.int64)]
-    rare &= off % STRIDE == 0
+    rare = np.ones(len(off), bool) if exact else rare & (off % STRIDE == 0)
     own, off, pri = own[rare], off[rare], pri[rare]
     df = Counter()
     for h in hashes:
@@ -195,7 +201,7 @@ def prepare_items(rows: list[tuple[int, str | None]]) -> Items:
         order.append(by)
         starts.append(np.searchsorted(b[by], np.arange((1 << (64 // BLOCKS)) + 1)))
     sizes = np.array([max(1, (own == n).sum()) for n in range(len(codes))])
-    return Items([i for i, _ in rows], list(classes.values()), codes, weights, own, off, pri, starts, order, np.maximum(2, np.ceil(sizes * CANDIDATE)))
+    return Items([i for i, _ in rows], list(classes.values()), codes, weights, own, off, pri, starts, order, np.ones(len(codes)) if exact else np.maximum(2, np.ceil(sizes * CANDIDATE)))
 
 
 def near(items: Items, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -273,21 +279,26 @@ def coverage(item: np.ndarray, weight: np.ndarray, text: np.ndarray) -> float:
     return min(1.0, top[1] / len(item))
 
 
-def find_leaks(documents: DataFrame, key: str, text: str, items: list[tuple[int, str | None]], least: float = COVERED) -> DataFrame:
+def find_leaks(documents: DataFrame, key: str, text: str, items: list[tuple[int, str | None]], least: float = COVERED, exact: bool = False) -> DataFrame:
     """(key, item_id, covered): documents that hold at least ``least`` of an item.
 
-    ``items`` is the held-out table as (id, text), small and fixed; it is sent
-    to every worker.  Each batch of documents is folded, fingerprinted window
-    by window, looked up in the items' Hamming blocks and verified, whole texts
-    and without a shuffle.  Null, empty and blank texts, items shorter than a
-    window and null keys leak nothing; repeated documents and items each have their rows.
+    ``items`` is the held-out table, or a block of it, as (id, text), at most
+    BLOCK_ITEMS rows; it is prepared once and sent to every worker.  Each batch
+    of documents is folded, fingerprinted window by window, looked up in the
+    items' Hamming blocks and verified, whole texts and without a shuffle.
+    ``exact`` looks up every window of every item (also those of phrases that
+    many items use) and verifies every document that hits one, at four times
+    the lookups.  Null, empty and blank texts, items shorter than a window and
+    null keys leak nothing; repeated documents and items each have their rows.
     """
+    if len(items) > BLOCK_ITEMS:
+        raise ValueError(f"at most {BLOCK_ITEMS} items at a time; leaks_of takes a table of any size")
     rows = documents.where(documents[key].isNotNull()).select(key, documents[text].alias("_text"))
-    shared = documents.sparkSession.sparkContext.broadcast(items)
+    shared = documents.sparkSession.sparkContext.broadcast(prepare_items(items, exact))
     schema = documents.select(key).schema.add("item_id", T.LongType()).add("covered", T.DoubleType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        prepared = prepare_items(shared.value)
+        prepared = shared.value
         for whole in batches:
             for b in (whole.slice(i, ROWS) for i in range(0, whole.num_rows, ROWS)):
                 found = list(leaks_in(prepared, b.column(1).to_pylist(), least))
@@ -297,6 +308,23 @@ def find_leaks(documents: DataFrame, key: str, text: str, items: list[tuple[int,
     return rows.mapInArrow(run, schema)
 
 
+def leaks_of(documents: DataFrame, key: str, text: str, held_out: DataFrame, item: str, passage: str, least: float = COVERED, exact: bool = False, block: int = BLOCK_ITEMS) -> DataFrame:
+    """:func:`find_leaks` for a held-out table of any size: blocks of its rows against all documents.
+
+    The table is counted first.  Up to ``block`` rows are one pass over the
+    documents; beyond that every block of the items' hash is a pass of its
+    own, and whether a phrase is common is told within a block.  Rows with a
+    null id are left out.
+    """
+    rows = held_out.where(F.col(item).isNotNull()).select(F.col(item).cast("bigint").alias("i"), F.col(passage).alias("t"))
+    n = max(1, -(-rows.count() // block))
+    if n > 1:
+        n *= 2  # blocks of a hash are uneven
+    part = F.pmod(F.xxhash64("i"), F.lit(n))
+    found = [find_leaks(documents, key, text, [(r["i"], r["t"]) for r in rows.where(part == k).toLocalIterator()], least, exact) for k in range(n)]
+    return reduce(DataFrame.unionByName, found)
+
+
 def leaks_in(items: Items, texts: list[str | None], least: float) -> Iterator[tuple[int, int, float]]:
     codes, ends = fold(texts)
     if not len(items.prints) or not len(codes):
@@ -321,9 +349,7 @@ def leaks_in(items: Items, texts: list[str | None], least: float) -> Iterator[tu
 
 
 def leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # the held-out items are a fixed table of a few hundred rows
-    items = [(r["item_id"], r["text"]) for r in table(spark, sf_dir, "eval_items").select("item_id", "text").toLocalIterator()]
-    return find_leaks(table(spark, sf_dir, "documents"), "doc_id", "text", items)
+    return leaks_of(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "text")
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:

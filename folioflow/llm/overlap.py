@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from folioflow.functions import sqlnames
 from folioflow.functions.names import numbered_name, plain_name, split_name
+from folioflow.llm.leaks import _mix
 from folioflow.operators.skew import SALTS, lookup_join, pairs_join
 from folioflow.sources.tables import current_rows, table
 from folioflow.storage import written
@@ -22,28 +23,29 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}\p{M}]+)"), 1), F.array())
 
 
-def rolling_hashes(tokens: Column, k: int) -> Column:
+def gram_hashes(codes: np.ndarray, k: int) -> np.ndarray:
     """Hash of every run of k tokens (of the whole sequence where it is shorter)."""
-    n = F.size(tokens)
-    runs = F.greatest(n - F.lit(k - 1), F.least(n, F.lit(1)))
-    return F.when(runs > 0, F.transform(F.sequence(F.lit(1), runs), lambda i: F.xxhash64(F.slice(tokens, i, k)))).otherwise(F.array())
+    k = min(k, len(codes))
+    if not k:
+        return np.zeros(0, np.uint64)
+    h = np.zeros(len(codes) - k + 1, np.uint64)
+    for i in range(k):
+        h = _mix(h * np.uint64(0x100000001B3) + codes[i : len(codes) - k + 1 + i].view(np.uint64))
+    return h
 
 
-def winnow(hashes: Column, w: int) -> Column:
-    """Selected fingerprints (h, at): the minimum of every w consecutive hashes.
+def winnow(hashes: np.ndarray, w: int) -> np.ndarray:
+    """Places of the selected fingerprints: the minimum of every w consecutive hashes.
 
     The rightmost minimum of a window is taken and named once, so any shared
     run of k + w - 1 tokens has a fingerprint in common (Schleimer, Wilkerson
     and Aiken).  With w = 1 every hash is selected.
     """
-    at = F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("at")))
+    w = min(w, len(hashes))
     if w <= 1:
-        return at
-    n = F.size(hashes)
-    windows = F.greatest(n - F.lit(w - 1), F.least(n, F.lit(1)))
-    least = lambda i: F.array_min(F.transform(F.slice(at, i, w), lambda x: F.struct(x.h.alias("h"), (-x.at).alias("back"))))
-    picked = F.transform(F.sequence(F.lit(1), windows), least)
-    return F.when(n > 0, F.array_distinct(F.transform(picked, lambda x: F.struct(x.h.alias("h"), (-x.back).alias("at"))))).otherwise(F.array())
+        return np.arange(len(hashes))
+    views = np.lib.stride_tricks.sliding_window_view(hashes, w)
+    return np.unique(np.arange(len(views)) + w - 1 - views[:, ::-1].argmin(1))
 
 
 def text_classes(records: DataFrame, key: str, tokens: str, split: str, source: str | None, scope: str | None) -> tuple[DataFrame, DataFrame]:
@@ -66,9 +68,22 @@ def text_classes(records: DataFrame, key: str, tokens: str, split: str, source:
 
 
 def fingerprints(classes: DataFrame, k: int, w: int) -> DataFrame:
-    """One row per selected fingerprint: class, t, e, its hash (with the scope) and its place; no text goes along."""
-    picked = winnow(rolling_hashes(F.col("codes"), k), w)
-    return classes.select("class", "t", "e", "scope", F.size("codes").alias("n"), F.explode(picked).alias("f")).select("class", "t", "e", "n", F.xxhash64("f.h", "scope").alias("g"), "f.at")
+    """One row per selected fingerprint: class, t, e, n, its hash (with the scope) and its place; no text goes along."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            codes = whole.column(0)
+            flat, ends = codes.values.to_numpy(), codes.offsets.to_numpy()
+            every = [gram_hashes(flat[i:j], k) for i, j in zip(ends[:-1], ends[1:])]
+            found = [winnow(h, w) for h in every]
+            hashes = [h[f] for h, f in zip(every, found)]
+            row = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
+            at = pa.array(np.concatenate(found).astype(np.int32) if found else np.zeros(0, np.int32))
+            h = pa.array(np.concatenate(hashes).view(np.int64) if hashes else np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([*[whole.column(c).take(row) for c in range(1, 6)], h, at], names=["class", "t", "e", "scope", "n", "h", "at"])
+
+    made = classes.select("codes", "class", "t", "e", "scope", F.size("codes").alias("n")).mapInArrow(run, "class string, t boolean, e boolean, scope string, n int, h bigint, at int")
+    return made.select("class", "t", "e", "n", F.xxhash64("h", "scope").alias("g"), "at")
 
 
 def seeds_needed(n: Column, coverage: float, k: int, w: int) -> Column:
@@ -109,8 +124,7 @@ def stretches(a: np.ndarray, b: np.ndarray, k: int) -> np.ndarray:
     k = min(k, len(a))
     if len(b) < k:
         return np.zeros((0, 3), np.int64)
-    mix = np.uint64(0x100000001B3) ** np.arange(k, dtype=np.uint64)
-    grams = [(np.lib.stride_tricks.sliding_window_view(x.view(np.uint64), k) * mix).sum(1, dtype=np.uint64) for x in (a, b)]
+    grams = [gram_hashes(x, k) for x in (a, b)]
     order = np.argsort(grams[1], kind="stable")
     lo, hi = (np.searchsorted(grams[1][order], grams[0], side) for side in ("left", "right"))
     n = hi - lo

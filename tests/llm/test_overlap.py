@@ -92,3 +92,22 @@ def test_texts_equal_all_pairs_and_copies_are_folded(spark):
 def test_words_of_odd_texts(spark):
     df = spark.createDataFrame([(None,), ("",), (" .,; ",), ("Ab-c 1",)], "t string")
     assert [r.w for r in df.select(words(F.col("t")).alias("w")).collect()] == [[], [], [], ["ab", "c", "1"]]
+
+
+PASSAGE = "The committee of the northern harbour met on a cold morning and resolved that every vessel above forty tons should pay a toll for the repair of the old breakwater, which had suffered in the storms of the last two winters."
+
+
+def test_items_of_any_number_are_found_in_blocks(spark):
+    from folioflow.llm.leaks import find_leaks, leaks_of
+
+    other = "Receipt number 4711, three pens, two cups and a box of paper, paid in cash at the desk, thank you and come again soon to our shop in the market street."
+    docs = spark.createDataFrame([(1, "Page 7\n" + PASSAGE.upper() + "\nend", "x"), (2, other, "x"), (3, None, "x"), (4, "", "x"), (None, PASSAGE, "x")], "doc_id int, text string, item_id string")
+    for copies in (1, 2, 3, 10):
+        items = [(n, PASSAGE) for n in range(copies)] + [(50, "Snow fell on the vineyards before the grapes were brought in, so the growers of the valley asked the council to put off the tithe until the spring.")]
+        assert {(r.doc_id, r.item_id) for r in find_leaks(docs, "doc_id", "text", items).collect()} == {(1, n) for n in range(copies)}
+    held = spark.createDataFrame([(n, PASSAGE if n % 3 == 0 else f"item {n}: short") for n in range(9)] + [(None, PASSAGE)], "item int, passage string")
+    want = {(1, 0), (1, 3), (1, 6)}
+    for block in (100, 3):
+        assert {(r.doc_id, r.item_id) for r in leaks_of(docs, "doc_id", "text", held, "item", "passage", block=block).collect()} == want
+    assert {(r.doc_id, r.item_id) for r in leaks_of(docs, "doc_id", "text", held, "item", "passage", exact=True).collect()} == want
+    assert leaks_of(docs, "doc_id", "text", held.limit(0), "item", "passage").count() == 0
