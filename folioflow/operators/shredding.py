@@ -27,9 +27,10 @@ class Leaf:
 
 @dataclass
 class Group:
-    """An object with named fields."""
+    """An object with named fields; ``own`` keeps values at its place that are no object."""
 
     fields: dict[str, Node]
+    own: bool = False
 
 
 @dataclass
@@ -60,6 +61,32 @@ def schema_of(dtype: T.DataType, children: dict[str, tuple[str, tuple[str, ...]]
     return Leaf()
 
 
+def infer(values: list, children: dict[str, tuple[str, tuple[str, ...]]], path: str = "", repeated: bool = True) -> Node:
+    """The node that holds all of ``values`` (parsed JSON), whatever fields they have.
+
+    ``children`` maps the paths of collections to (table, key fields); below a
+    collection the path goes on with ``[]``.  All else follows from the data:
+    objects are groups of all fields that any of them has, other values leaves.
+    """
+    if repeated and path in children:
+        child, keys = children[path]
+        inner = [v for x in values for _, v in entries(x, keys) or () if v is not None]
+        return Repeated(infer(inner, children, f"{path}[]", False), child, keys)
+    objects = [v for v in values if isinstance(v, dict)]
+    if not objects:
+        return Leaf()
+    below: dict[str, list] = {}
+    for o in objects:
+        for k, v in o.items():
+            below.setdefault(k, []).append(v)
+    for p in children:  # collections are there even where no record has them
+        head, _, last = p.rpartition(".")
+        if head == path and last not in below and not last.endswith("[]"):
+            below[last] = []
+    at = f"{path}." if path else ""
+    return Group({k: infer([x for x in v if x is not None], children, at + k) for k, v in below.items()}, any(v is not None and not isinstance(v, dict) for v in values))
+
+
 @dataclass
 class Column:
     """The striped values of one leaf path; ``r`` = 0 begins a record."""
@@ -89,6 +116,7 @@ class Striper:
 
     def __init__(self, schema: Node):
         self.columns: list[Column] = []
+        self.outside: list[Column] = []  # of the record itself, below no repeated ancestor
         self.places: list[Place] = []
         self.records = 0
         self.root = self._plan(schema, (), 0, 0, None)
@@ -96,7 +124,9 @@ class Striper:
     def _column(self, path: tuple[str, ...], place: Place | None, inner: bool = True) -> Column:
         c = Column(path)
         self.columns.append(c)
-        if place is not None and inner:
+        if place is None and inner:
+            self.outside.append(c)
+        elif inner:
             place.columns.append(c)
         return c
 
@@ -105,7 +135,8 @@ class Striper:
         if isinstance(node, Leaf):
             return ("leaf", self._column(path, place), d + 1)
         if isinstance(node, Group):
-            return ("group", {k: self._plan(v, (*path, k), r, d + 1, place) for k, v in node.fields.items()}, d + 1)
+            own = ("leaf", self._column(path, place), d + 1) if node.own or not node.fields else None
+            return ("group", {k: self._plan(v, (*path, k), r, d + 1, place) for k, v in node.fields.items()}, d + 1, own)
         here = Place(node, r + 1, d + 2, d + 3, place, self._column((*path, "key"), place, False))
         self.places.append(here)
         first = len(self.columns)
@@ -121,7 +152,7 @@ class Striper:
         if plan[0] == "leaf":
             return [plan[1]]
         if plan[0] == "group":
-            return [c for p in plan[1].values() for c in self._columns(p)]
+            return [c for p in (*plan[1].values(), *filter(None, plan[3:])) for c in self._columns(p)]
         return plan[3]
 
     def _nothing(self, plan, r: int, d: int) -> None:
@@ -143,8 +174,13 @@ class Striper:
                 here.key.d.append(here.d + (k is not None))
                 here.key.v.append(k)
                 self._write(inner, v, level, here.d)
-        elif value is None or (kind == "group" and not isinstance(value, dict)):
+        elif value is None:
             self._nothing(plan, r, d)
+        elif kind == "group" and not isinstance(value, dict):
+            for p in plan[1].values():
+                self._nothing(p, r, d)
+            if plan[3]:
+                self._write(plan[3], value, r, d)
         elif kind == "leaf":
             plan[1].r.append(r)
             plan[1].d.append(plan[2])
@@ -152,6 +188,13 @@ class Striper:
         else:
             for k, p in plan[1].items():
                 self._write(p, value.get(k), r, plan[2])
+            if plan[3]:
+                self._nothing(plan[3], r, plan[2])
+
+    def rows(self) -> Iterator[tuple[int, dict]]:
+        """(record, {field: value}) of every record: what lies below no repeated ancestor."""
+        for i in range(self.records):
+            yield i, {".".join(c.path) or "value": c.v[i] for c in self.outside if c.v[i] is not None}
 
     def table(self, place: Place) -> Iterator[tuple]:
         """(record, entry, parent entry, parent key, key, {field: value}) per entry with a value.
@@ -213,30 +256,35 @@ def _text(v) -> str:
     return v if isinstance(v, str) else json.dumps(v, ensure_ascii=False, default=str)
 
 
-def shred(df: DataFrame, record_id: str, column: str, schema: Callable[[], Node] | Node, parse: Callable | None = None, batch_rows: int = 2000) -> DataFrame:
+def shred(df: DataFrame, record_id: str, column: str, schema: Callable[[list], Node] | Node, parse: Callable | None = None, batch_rows: int = 2000, records: bool = False) -> DataFrame:
     """All child tables of the nested ``column``: one row per entry of a repeated ancestor.
 
-    ``child`` names the table, ``entry`` the entry within its record,
+    With ``records`` also one row per record, with the empty ``child``, no
+    entry and no key, whose ``fields`` are the leaves below no repeated
+    ancestor.  ``child`` names the table of the others, ``entry`` the entry within its record,
     ``parent_entry``/``parent_key`` the entry of the enclosing repeated
     ancestor (NULL where the child hangs on the record itself), ``fields`` the
     leaves of the entry that aren't null, as text.  ``parse`` turns a cell into
     Python values first (None: a record without children).  Null columns, null
     or empty collections and null entries have no rows; keys may hold any
-    character; repeated keys in arrays stay separate entries.  Each batch is
+    character; repeated keys in arrays stay separate entries.  ``schema`` is a
+    node, or makes one of a batch's parsed values (see :func:`infer`); as every
+    value keeps its own path, the rows don't depend on the batch.  Each batch is
     striped and assembled where it lies, without a shuffle.
     """
     rows = df.select(record_id, column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        node = schema() if callable(schema) else schema
         for whole in batches:
             for start in range(0, whole.num_rows, batch_rows):
                 b = whole.slice(start, batch_rows)
                 ids, cells = b.column(0).to_pylist(), b.column(1).to_pylist()
-                stripes = Striper(node)
-                for cell in cells:
-                    stripes.add(parse(cell) if parse else cell)
-                out = [
+                values = [parse(cell) for cell in cells] if parse else cells
+                stripes = Striper(schema(values) if callable(schema) else schema)
+                for value in values:
+                    stripes.add(value)
+                out = [{"record_id": ids[rec], "child": "", "entry": None, "parent_entry": None, "parent_key": None, "child_key": None, "fields": [(n, _text(v)) for n, v in f.items()]} for rec, f in (stripes.rows() if records else ()) if values[rec] is not None]
+                out += [
                     {"record_id": ids[rec], "child": p.node.child, "entry": e, "parent_entry": pe, "parent_key": pk, "child_key": k, "fields": [(n, _text(v)) for n, v in f.items()]}
                     for p in stripes.places for rec, e, pe, pk, k, f in stripes.table(p)
                 ]

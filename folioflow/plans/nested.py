@@ -6,20 +6,18 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from folioflow.operators.shredding import Group, Leaf, Repeated, schema_of, shred
+from folioflow.operators.shredding import Group, infer, schema_of, shred
 from folioflow.sources.tables import current_rows, table
 
-COUNTS = Group({k: Leaf() for k in ("tp", "fp", "fn", "support", "precision", "recall", "f1")})
 CLASSES = ("class", "name", "label")
 DATASETS = ("dataset", "name")
+#: The collections of a relation report; everything else follows from the data.
+RELATION_CHILDREN = {"per_class": ("class", CLASSES), "by_dataset": ("dataset", DATASETS), "by_dataset[].metrics.relation_per_class": ("dataset_class", CLASSES)}
 
 
-def relation_schema() -> Group:
-    inner = Group({
-        "example_count": Leaf(), "window_count": Leaf(),
-        "metrics": Group({"loss": Leaf(), "entity_token_f1": Leaf(), "relation_f1": Leaf(), "relation_per_class": Repeated(COUNTS, "dataset_class", CLASSES)}),
-    })
-    return Group({"per_class": Repeated(COUNTS, "class", CLASSES), "by_dataset": Repeated(inner, "dataset", DATASETS)})
+def relation_schema(values: list) -> Group:
+    node = infer(values, RELATION_CHILDREN)
+    return node if isinstance(node, Group) else Group({})
 
 
 def parse_object(text: str | None) -> dict | None:
@@ -43,14 +41,14 @@ def _tables(df: DataFrame, name: str, children: DataFrame) -> DataFrame:
 
 def _nested(spark: SparkSession, sf_dir: str, name: str, key: str, columns: list[str], children: dict) -> DataFrame:
     raw = table(spark, sf_dir, name)
-    # maps can't be compared, so one delivery of a record is picked by time and then any: they are copies
-    picked = raw.where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(F.struct(*columns), F.struct("recorded_at", "ingested_at")).alias("row"))
-    return _tables(picked, name, shred(picked, key, "row", schema_of(picked.schema["row"].dataType, children)))
+    # maps can't be compared, so of deliveries of one time the one whose JSON text is last is picked
+    picked = raw.where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(F.struct(*columns), F.struct("recorded_at", "ingested_at", F.to_json(F.struct(*columns)))).alias("row"))
+    return _tables(picked, name, shred(picked, key, "row", schema_of(picked.schema["row"].dataType, children), records=True))
 
 
 def nested_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     reports = current_rows(table(spark, sf_dir, "relation_metrics"), "report_id", ["payload"])
-    relation = _tables(reports, "relation_metrics", shred(reports, "report_id", "payload", relation_schema, parse_object))
+    relation = _tables(reports, "relation_metrics", shred(reports, "report_id", "payload", relation_schema, parse_object, records=True))
     ends = _nested(
         spark, sf_dir, "locked_test_end_to_end_metrics", "report_id", ["metrics", "error_counts", "by_dataset"],
         {"error_counts": ("error", ()), "by_dataset": ("dataset", ()), "by_dataset[].error_counts": ("dataset_error", ())},
@@ -67,11 +65,17 @@ def nested_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nested_tables(spark, sf_dir).select("table_name", "record_id", "child", "parent_key", "child_key").distinct()
+    return nested_tables(spark, sf_dir).where("child <> ''").select("table_name", "record_id", "child", "parent_key", "child_key").distinct()
+
+
+def p3_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The numbers that hang on the records themselves: one row per report and field, ``metrics.entity_f1`` among them."""
+    rows = nested_tables(spark, sf_dir).where("child = '' AND table_name <> 'model_registry'").select("table_name", "record_id", F.explode("fields").alias("field", "value"))
+    return rows.select("table_name", "record_id", "field", F.round(F.col("value").try_cast("double"), 6).alias("number")).where("number IS NOT NULL")
 
 
 def p3_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All child rows with their links and fields (as JSON text in key order)."""
+    """All rows, of records and of children, with their links and fields (as JSON text in key order)."""
     return nested_tables(spark, sf_dir).withColumn("fields", F.to_json(F.map_from_entries(F.array_sort(F.map_entries("fields")))))
 
 
@@ -86,7 +90,7 @@ def _latest(table_name: str, key: str) -> str:
     return f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY recorded_at DESC, ingested_at DESC) AS i FROM {table_name} WHERE {key} IS NOT NULL) WHERE i = 1)"
 
 
-QUERIES = {"p3_found": p3_found, "p3_tables": p3_tables}
+QUERIES = {"p3_found": p3_found, "p3_tables": p3_tables, "p3_metrics": p3_metrics}
 ORACLES = {
     "p3_found": f"""WITH rel AS (SELECT report_id AS id, CAST(payload AS JSON) AS p FROM {_latest('relation_metrics', 'report_id')} WHERE json_valid(payload)),
       pc AS (SELECT id, '' AS parent, p->'per_class' AS j FROM rel), cls AS {_entries('pc', 'class')}, bd AS (SELECT id, '' AS parent, p->'by_dataset' AS j FROM rel), dst AS {_entries('bd', 'dataset')},
@@ -99,5 +103,11 @@ ORACLES = {
         UNION ALL SELECT 'locked_test_end_to_end_metrics', id, 'dataset', '', k FROM ed UNION ALL SELECT 'locked_test_end_to_end_metrics', id, 'dataset_error', k, e.key FROM (SELECT id, k, unnest(map_entries(v.error_counts)) AS e FROM ed) WHERE e.value IS NOT NULL
         UNION ALL SELECT 'model_registry', id, 'model', '', k FROM reg UNION ALL SELECT 'model_registry', id, 'model_file', k, f.path FROM (SELECT id, k, unnest(v.files) AS f FROM reg) WHERE f IS NOT NULL
         UNION ALL SELECT 'model_registry', id, 'model_manifest', k, f.path FROM (SELECT id, k, unnest(v.development_metrics.source_manifests) AS f FROM reg) WHERE f IS NOT NULL
-        UNION ALL SELECT 'model_registry', id, 'model_codepoint', k, e.key FROM (SELECT id, k, unnest(map_entries(v.development_metrics.dictionary.excluded_by_codepoint)) AS e FROM reg) WHERE e.value IS NOT NULL)"""
+        UNION ALL SELECT 'model_registry', id, 'model_codepoint', k, e.key FROM (SELECT id, k, unnest(map_entries(v.development_metrics.dictionary.excluded_by_codepoint)) AS e FROM reg) WHERE e.value IS NOT NULL)""",
+    "p3_metrics": f"""WITH RECURSIVE rel AS (SELECT report_id AS id, CAST(payload AS JSON) AS p FROM {_latest('relation_metrics', 'report_id')} WHERE json_valid(payload)),
+      t AS (SELECT id, e.key AS path, e.value AS v FROM (SELECT id, unnest(map_entries(CAST(p AS MAP(VARCHAR, JSON)))) AS e FROM rel WHERE json_type(p) = 'OBJECT') WHERE e.key NOT IN ('per_class', 'by_dataset')
+        UNION ALL SELECT id, path || '.' || e.key, e.value FROM (SELECT id, path, unnest(map_entries(CAST(v AS MAP(VARCHAR, JSON)))) AS e FROM t WHERE json_type(v) = 'OBJECT')),
+      e AS (SELECT report_id, unnest(['entity_f1', 'relation_f1', 'canonical_field_accuracy', 'document_type_accuracy', 'processing_time_per_page_seconds']) AS f, unnest([metrics.entity_f1, metrics.relation_f1, metrics.canonical_field_accuracy, metrics.document_type_accuracy, metrics.processing_time_per_page_seconds]) AS x FROM {_latest('locked_test_end_to_end_metrics', 'report_id')})
+      SELECT 'relation_metrics' AS table_name, id AS record_id, path AS field, round(try_cast(v->>'$' AS DOUBLE), 6) AS number FROM t WHERE json_type(v) NOT IN ('OBJECT', 'ARRAY', 'NULL') AND number IS NOT NULL
+      UNION ALL SELECT 'locked_test_end_to_end_metrics', report_id, 'metrics.' || f, round(x, 6) FROM e WHERE x IS NOT NULL""",
 }

@@ -120,3 +120,33 @@ def test_changes_don_t_depend_on_the_ranges(spark):
 def test_no_files_no_changes(spark):
     df = spark.createDataFrame([], "stream string, at int, report_id int, payload string")
     assert schema_changes(profiles(df, "stream", "at", "report_id", "payload", parse_object, ())).count() == 0
+
+
+def test_records_keep_their_own_leaves_whatever_their_shape(spark):
+    """Fields outside collections come out too, with no list of names, and the same for every batch size."""
+    from folioflow.plans.nested import parse_object, relation_schema
+
+    texts = ['{"unheard_of": {"deep": 1.5, "x": null}, "split": "test", "per_class": {"A": {"f1": 1, "more": [1, 2]}}}', '{"unheard_of": 7, "by_dataset": []}', "{}", "[1]", "no json", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "report_id long, payload string").coalesce(1)
+    want = {
+        (0, "", None): {"unheard_of.deep": "1.5", "split": "test"}, (0, "class", "A"): {"f1": "1", "more": "[1, 2]"}, (1, "", None): {"unheard_of": "7"}, (2, "", None): {},
+    }
+    for rows in (1, 2, 100):
+        got = S.shred(df, "report_id", "payload", relation_schema, parse_object, rows, records=True).collect()
+        assert {(r.record_id, r.child, r.child_key): r.fields for r in got} == want and len(got) == len(want)
+    struct = spark.createDataFrame([(1, (2.0, {"k": 1})), (2, None)], "id long, row struct<a: double, m: map<string, long>>")
+    got = S.shred(struct, "id", "row", S.schema_of(struct.schema["row"].dataType, {"m": ("m", ())}), records=True).collect()
+    assert {(r.record_id, r.child, r.child_key, tuple(r.fields.items())) for r in got} == {(1, "", None, (("a", "2.0"),)), (1, "m", "k", (("value", "1"),))}
+
+
+def test_weak_pairs_of_several_fields_are_no_renames():
+    from folioflow.operators.drift import _fresh, advance, profile
+
+    def changes(old, new):
+        out = []
+        advance({n: _fresh(e) for n, e in profile(old, frozenset()).items()}, profile(new, frozenset()), (), out)
+        return {(".".join(p), kind, ".".join(q) if q else None) for p, kind, q, _ in out}
+
+    assert changes({"alpha_count": 3}, {"zzz": "text"}) == {("alpha_count", "renamed", "zzz")}  # one for one
+    assert changes({"row_count": 3, "model_name": "a"}, {"modelName": "a", "rows_count": 3}) == {("row_count", "renamed", "rows_count"), ("model_name", "renamed", "modelName")}
+    assert changes({"alpha_count": 3, "model_name": "a"}, {"modelName": "a", "zzz": ["x"]}) == {("model_name", "renamed", "modelName"), ("alpha_count", "removed", None), ("zzz", "added", None)}
