@@ -109,7 +109,7 @@ def kmeans_zones(spark, d):
 
 def window_average(spark, d):
     """Vectors of a label averaged over windows of neighbouring ids."""
-    v = _vectors(spark, d).select((F.col("vec_id") / 10).cast("bigint").alias("word"), "label", F.slice("v", 1, 4).alias("v"))
+    v = _vectors(spark, d).select((F.col("vec_id") / 10).cast("bigint").alias("word"), "label", "v")
     a = C.window_average(v, ["label"], "word", "v")
     return a.select("label", "word", F.posexplode("mean_vector").alias("i", "m")).select("label", "word", "i", F.round("m", 6).alias("mean"))
 
@@ -130,7 +130,7 @@ ORACLES = {
         SELECT doc_id, line_no, 0 AS tx0, round_even(y0 * 1000 / h, 0)::INTEGER AS ty0, round_even(x1 * 1000 / w, 0)::INTEGER AS tx1, round_even(y1 * 1000 / h, 0)::INTEGER AS ty1 FROM b""",
     "page_tiles": """WITH p AS (SELECT p_partkey, p_size * 37 + 200 AS w, p_size * 53 + 300 AS h FROM part), b AS (SELECT *, ceil(w / 2.0::DOUBLE) AS bw, ceil(h / 2.0::DOUBLE) AS bh FROM p), o AS (SELECT *, round_even(bw * 0.15::DOUBLE, 0) AS ox, round_even(bh * 0.15::DOUBLE, 0) AS oy FROM b), k AS (SELECT unnest([0, 0, 1, 1]) AS r, unnest([0, 1, 0, 1]) AS c)
         SELECT p_partkey, r * 2 + c AS tile, r AS tile_row, c AS tile_column, greatest(0, bw * c - CASE WHEN c > 0 THEN ox ELSE 0 END)::BIGINT AS x0, greatest(0, bh * r - CASE WHEN r > 0 THEN oy ELSE 0 END)::BIGINT AS y0, least(w, least(w, bw * (c + 1)) + CASE WHEN c < 1 THEN ox ELSE 0 END)::BIGINT AS x1, least(h, least(h, bh * (r + 1)) + CASE WHEN r < 1 THEN oy ELSE 0 END)::BIGINT AS y1 FROM o, k""",
-    "window_average": """WITH e AS (SELECT label, vec_id, unnest([0, 1, 2, 3]) AS i, unnest(embedding[1:4]) AS x FROM embeddings) SELECT label, vec_id // 10 AS word, i, round(avg(x::DOUBLE), 6) AS mean FROM e GROUP BY 1, 2, 3""",
+    "window_average": """WITH e AS (SELECT label, vec_id, unnest(generate_series(0, len(embedding) - 1)) AS i, unnest(embedding) AS x FROM embeddings) SELECT label, vec_id // 10 AS word, i, round(avg(x::DOUBLE), 6) AS mean FROM e GROUP BY 1, 2, 3""",
     "centroid_margin": """WITH f AS (SELECT vec_id, label, unnest(generate_series(1, len(embedding))) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings), c AS (SELECT label, i, avg(x) AS m FROM f GROUP BY 1, 2),
         d AS (SELECT vec_id, c.label, sqrt(sum((x - m) ** 2)) AS distance FROM f JOIN c USING (i) GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY distance, label) AS k, lead(distance) OVER (PARTITION BY vec_id ORDER BY distance, label) AS nx FROM d)
         SELECT vec_id, label AS nearest, round(distance, 6) AS distance, round(greatest(0.0, least(1.0, (nx - distance) / greatest(nx, 1e-12))), 6) AS confidence FROM r WHERE k = 1""",
