@@ -23,6 +23,9 @@ from folioflow.storage import written
 CHANGES = "stream string, report_id bigint, earlier_id bigint, field_path string, change_kind string, new_path string, score double"
 #: Matches scoring less are still renames of that file, but don't unify columns.
 SAME_COLUMN = 0.5
+#: Where several fields go or come below one parent, a matched pair that scores
+#: less is a field removed and another added; one for one is always a rename.
+SAME_FIELD = 0.3
 
 
 def kind_of(v) -> str:
@@ -68,7 +71,7 @@ def assign(weight: list[list[float]]) -> list[tuple[int, int]]:
     n, m = len(weight), len(weight[0]) if weight else 0
     if n > m:
         return [(i, j) for j, i in assign([list(c) for c in zip(*weight)])]
-    u, v, match = [0.0] * (n + 1), [0.0] * (m + 1), [0] * (m + 1)
+    u, v, match = [0] * (n + 1), [0] * (m + 1), [0] * (m + 1)  # whole numbers stay exact
     for i in range(1, n + 1):
         match[0], j0, best, back, used = i, 0, [float("inf")] * (m + 1), [0] * (m + 1), [False] * (m + 1)
         while match[j0]:
@@ -100,7 +103,7 @@ def _fresh(entry: list, known: str | None = None) -> list:
     return [known if entry[0] == "null" and known else entry[0], entry[1], below, 1]
 
 
-def advance(state: dict, cur: dict, path: tuple[str, ...], changes: list) -> dict:
+def advance(state: dict, cur: dict, path: tuple[str, ...], changes: list, least: float = SAME_FIELD) -> dict:
     """The state after a file; appends (path, kind, new path, score) for each change.
 
     Fields that are gone stay in the state as absent, with the type last seen.
@@ -110,7 +113,10 @@ def advance(state: dict, cur: dict, path: tuple[str, ...], changes: list) -> dic
     renamed: dict[str, str] = {}
     if goes and comes:
         weight = [[similarity(a, state[a], b, cur[b]) for b in comes] for a in goes]
-        for i, j in assign(weight):
+        pairs = assign(weight)
+        if len(goes) + len(comes) > 2:
+            pairs = [(i, j) for i, j in pairs if weight[i][j] >= least]
+        for i, j in pairs:
             renamed[comes[j]] = goes[i]
             changes.append(((*path, goes[i]), "renamed", (*path, comes[j]), weight[i][j]))
     left = set(renamed.values())
@@ -131,7 +137,7 @@ def advance(state: dict, cur: dict, path: tuple[str, ...], changes: list) -> dic
             changes.append(((*path, n), "type", None, None))
             new[n] = _fresh(entry)
         elif entry[2] is not None and old[2] is not None:
-            new[n] = [entry[0], entry[1], advance(old[2], entry[2], (*path, n), changes), 1]
+            new[n] = [entry[0], entry[1], advance(old[2], entry[2], (*path, n), changes, least), 1]
         else:
             new[n] = _fresh(entry)
     return new

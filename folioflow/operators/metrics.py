@@ -130,19 +130,16 @@ def clustering_scores(table: DataFrame) -> DataFrame:
 def best_mapping(table: DataFrame, k: int) -> DataFrame:
     """(predicted, truth): the one-to-one mapping of k clusters 0..k-1 to k classes 0..k-1 that keeps most rows.
 
-    All k! mappings of the k x k table are scored in one plan (k is 4 at most
-    in practice); of equals the first in order is taken.
+    The k x k table (its size is that of the labels, not of the data) is solved
+    as an assignment; of equals the mapping that is first in order is taken,
+    for which every cell gets a bonus too small to outweigh a row.
     """
-    from itertools import permutations
+    from folioflow.operators.drift import assign
 
-    if k > 7:
-        raise ValueError("at most 7 clusters are mapped by enumeration")
-    spark = table.sparkSession
-    perms = spark.createDataFrame([(i, list(p)) for i, p in enumerate(permutations(range(k)))], "id int, p array<int>")
-    each = perms.select("id", F.posexplode("p").alias("predicted", "truth"))
-    kept = each.join(table, ["predicted", "truth"], "left").groupBy("id").agg(F.sum(F.coalesce("n", F.lit(0))).alias("kept"))
-    best = kept.orderBy(F.desc("kept"), "id").limit(1)
-    return each.join(F.broadcast(best.select("id")), "id").select("predicted", "truth")
+    counts = {(r["predicted"], r["truth"]): r["n"] for r in table.where(F.col("predicted").between(0, k - 1) & F.col("truth").between(0, k - 1)).collect()}  # at most k * k rows
+    # row i, column j: weights are whole numbers; the bonus reads the mapping as digits in base k
+    weight = [[counts.get((i, j), 0) * (k ** (k + 1)) + (k - 1 - j) * k ** (k - 1 - i) for j in range(k)] for i in range(k)]
+    return table.sparkSession.createDataFrame(assign(weight), "predicted int, truth int")
 
 
 def inverse_sqrt_weights(counts: DataFrame, cls: str, n: str) -> DataFrame:
@@ -242,22 +239,38 @@ def strict_score(name: str) -> Column:
     return F.when(bad, F.raise_error(F.lit("selection metrics must be in [0, 1]")).cast("double")).otherwise(selection_score(name))
 
 
-def recognizer_gate(b: str, c: str, slowest: float) -> dict[str, Column]:
-    """Named criteria for replacing a recogniser (aliases of baseline and candidate rows)."""
+# Names of the criteria of both gates, and of the checks that a trial has to have passed.
+RECOGNIZER_CHECKS = ("confidence_finite", "export_reload_passed", "dictionary_match_passed")
+DETECTOR_CHECKS = ("export_reload_passed", "adapter_contract_passed", "rotated_page_passed", "blank_low_text_passed")
+
+
+def _passed(row: str, checks: tuple[str, ...]) -> dict[str, Column]:
+    return {c: F.coalesce(F.col(f"{row}.{c}"), F.lit(False)) for c in checks} | {"no_private_data": F.col(f"{row}.private_rows") == 0}
+
+
+def recognizer_gate(b: str, c: str, slowest: float, critical: tuple[Column, Column] | None = None) -> dict[str, Column]:
+    """The ten named criteria for replacing a recogniser (aliases of baseline and candidate rows).
+
+    ``critical`` are the two rows' scores of exact critical fields, where they
+    aren't columns ``critical_exact``.
+    """
     v = lambda a, n: F.col(f"{a}.{n}")
     gain = F.when(v(b, "wer") > 0, (v(b, "wer") - v(c, "wer")) / v(b, "wer")).otherwise(0.0)
     keeps = lambda n, slack=0.0: clamp(v(c, n)) + slack + EPS >= clamp(v(b, n))
+    was, now = critical or (v(b, "critical_exact"), v(c, "critical_exact"))
     return {
         "wer_improvement_or_floor": (gain >= 0.15 - EPS) | (v(c, "wer") <= 0.45 + EPS),
-        "critical_field_exact_gain": v(c, "critical_exact") - v(b, "critical_exact") >= 0.10 - EPS,
+        "critical_field_exact_gain": now - was >= 0.10 - EPS,
         "numeric_and_amount_no_regression": keeps("numeric_exact") & keeps("amount_exact"),
         "english_no_material_regression": keeps("english_exact", 0.02),
         "turkish_valid": v(c, "turkish_accuracy").between(0, 1) & (v(c, "turkish_accuracy") + 0.02 + EPS >= v(b, "turkish_accuracy")),
         "processing_time_acceptable": v(c, "seconds") <= slowest,
+        **_passed(c, RECOGNIZER_CHECKS),
     }
 
 
-def detector_gate(b: str, c: str, slowest: float) -> dict[str, Column]:
+def detector_measures(b: str, c: str, slowest: float) -> dict[str, Column]:
+    """The criteria for replacing a detector that compare figures of the two rows."""
     v = lambda a, n: F.col(f"{a}.{n}")
     return {
         "f1_improvement_or_floor": (v(c, "f1") - v(b, "f1") >= 0.10 - EPS) | (v(c, "f1") >= 0.60 - EPS),
@@ -267,6 +280,11 @@ def detector_gate(b: str, c: str, slowest: float) -> dict[str, Column]:
     }
 
 
+def detector_gate(b: str, c: str, slowest: float) -> dict[str, Column]:
+    """All nine criteria for replacing a detector: the figures, the checks passed and no private rows."""
+    return {**detector_measures(b, c, slowest), **_passed(c, DETECTOR_CHECKS)}
+
+
 def accepted(criteria: dict[str, Column]) -> Column:
     return reduce(lambda a, b: a & b, [F.coalesce(c, F.lit(False)) for c in criteria.values()])
 

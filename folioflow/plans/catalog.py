@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("nested", "drifting", "extraction", "auditing", "evaluation", "layout", "checking", "learning")
+MODULES = ("nested", "drifting", "extraction", "auditing", "evaluation", "layout", "checking", "learning", "assembling", "exchanging")
 
 QUERIES: dict = {}
 ORACLES: dict = {}

@@ -66,7 +66,7 @@ def cache_put(df: DataFrame, path: str, digest: str, private: str) -> int:
     public = public.cache()
     n = public.count()
     if n:
-        public.write.mode("append").partitionBy("shard").parquet(refuse_raw(path))
+        public.repartition("shard").write.mode("append").partitionBy("shard").parquet(refuse_raw(path))
     public.unpersist()
     return n
 
