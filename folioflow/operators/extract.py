@@ -69,7 +69,7 @@ def rule_candidates(lines: DataFrame, text: str = "text", confidence: str = "con
 
 
 def header_organization(lines: DataFrame, by: list[str]) -> DataFrame:
-    """The topmost mostly upper-case line in the upper quarter of each page."""
+    """The topmost mostly upper-case line in the upper quarter of each page; a line without confidence counts 0.5."""
     t = F.trim(F.col("text"))
     letters = F.length(F.regexp_replace(t, r"[^\p{L}]", ""))
     upper = F.length(F.regexp_replace(t, r"[^\p{Lu}]", ""))
@@ -77,7 +77,7 @@ def header_organization(lines: DataFrame, by: list[str]) -> DataFrame:
     # the topmost such line is the answer or there is none: one aggregate finds it and the page's end
     place = F.when(ok, F.struct("y0", "x0", "line_no"))
     best = lines.groupBy(*by).agg(F.max("y1").alias("_bottom"), F.min_by(F.struct("line_no", "text", "confidence", "y0"), place).alias("_b")).where(F.col("_b.y0") <= F.col("_bottom") * 0.25)
-    return best.select(*by, F.col("_b.line_no").alias("line_no"), F.lit("organization_name").alias("field"), F.trim("_b.text").alias("value"), F.trim("_b.text").alias("raw_text"), (F.col("_b.confidence") * 0.75).alias("field_confidence"))
+    return best.select(*by, F.col("_b.line_no").alias("line_no"), F.lit("organization_name").alias("field"), F.trim("_b.text").alias("value"), F.trim("_b.text").alias("raw_text"), (F.coalesce("_b.confidence", F.lit(0.5)) * 0.75).alias("field_confidence"))
 
 
 def best_fields(candidates: DataFrame, by: list[str]) -> DataFrame:

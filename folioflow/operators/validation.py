@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from folioflow.functions.text import contains_any, contains_thai
 
+# Patterns and words of the provenance, secret and stratum tests.
 SHA = "^[0-9a-f]{64}$"
 COMMIT = "^[0-9a-f]{7,40}$"
 SECRET = r"(?i)(?:api[_-]?key|secret|password|access[_-]?token)\s*[:=]\s*['\"][A-Za-z0-9_\-/.+=]{16,}"
@@ -126,28 +127,33 @@ def tiling_reasons(largest: Column, least: int = 700) -> Column:
     return F.when(largest >= least, r).otherwise(F.array().cast("array<string>"))
 
 
-def candidate_score(words: DataFrame, by: str, width: float = 1000.0, height: float = 1400.0, centre: float = 0.75, scale: float = 0.20) -> DataFrame:
-    """Score of a page's recognition in [0, 1] with its parts, from word rows."""
+def candidate_score(words: DataFrame, by: str, width: float = 1000.0, height: float = 1400.0, centre: float = 0.75, scale: float = 0.20, thai: bool = False, alignment: DataFrame | None = None) -> DataFrame:
+    """Score of a page's recognition in [0, 1] with its parts, from word rows.
+
+    ``thai`` tells the route: script consistency is the share of Thai letters
+    there and that of all others elsewhere.  ``alignment`` has ``line_alignment``
+    per page (see :func:`records.line_alignment`); without it boxes are upright.
+    """
     from folioflow.functions.text import garbage
 
     area = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
     said = F.lower(F.trim("text"))
-    thai = F.length(F.regexp_replace("text", r"[^\x{0E00}-\x{0E7F}]", ""))
+    thai_letters = F.length(F.regexp_replace("text", r"[^\x{0E00}-\x{0E7F}]", ""))
     script = F.length(F.regexp_replace("text", r"[^\p{L}\x{0E00}-\x{0E7F}]", ""))
     printable = F.length(F.regexp_replace("text", r"\p{C}", ""))
     same = words.groupBy(by, said.alias("_said")).agg(F.count(F.lit(1)).alias("_n")).groupBy(by).agg(F.sum(F.col("_n") - 1).alias("repeats"))
     g = words.groupBy(by).agg(
-        F.count(F.lit(1)).alias("n"), F.avg("confidence").alias("mean"), F.median("confidence").alias("median"), F.sum(area).alias("area"), F.sum(thai).alias("thai"), F.sum(script).alias("script"), F.sum(printable).alias("printable"),
+        F.count(F.lit(1)).alias("n"), F.avg("confidence").alias("mean"), F.median("confidence").alias("median"), F.sum(area).alias("area"), F.sum(thai_letters).alias("thai"), F.sum(script).alias("script"), F.sum(printable).alias("printable"),
         F.sum(F.length("text")).alias("chars"), F.count_if(garbage(F.col("text"))).alias("bad"), F.count_if(F.col("confidence") < 0.25).alias("low"),
     ).join(same, by)
     n, one = F.col("n"), F.lit(1.0)
     parts = {
         "word_count_score": F.least(one, F.log1p("n") / F.log(F.lit(41.0))), "calibrated_confidence": 1 / (1 + F.exp(-(F.col("mean") - centre) / scale)), "median_confidence": F.col("median"), "coverage": F.least(one, F.col("area") / (width * height)),
-        "valid_ratio": F.col("printable") / F.greatest(F.lit(1), F.col("chars")), "script_consistency": 1 - F.col("thai") / F.greatest(F.lit(1), F.col("script")), "duplicate_penalty": F.col("repeats") / n, "garbage_penalty": F.col("bad") / n, "outlier_penalty": F.col("low") / n,
+        "valid_ratio": F.col("printable") / F.greatest(F.lit(1), F.col("chars")), "script_consistency": F.col("thai") / F.greatest(F.lit(1), F.col("script")) if thai else 1 - F.col("thai") / F.greatest(F.lit(1), F.col("script")), "duplicate_penalty": F.col("repeats") / n, "garbage_penalty": F.col("bad") / n, "outlier_penalty": F.col("low") / n,
     }
     w = {"word_count_score": 0.22, "calibrated_confidence": 0.22, "median_confidence": 0.08, "valid_ratio": 0.13, "script_consistency": 0.10, "duplicate_penalty": -0.025, "garbage_penalty": -0.025, "outlier_penalty": -0.025}
-    # boxes are upright, so the alignment part is whole
-    total = reduce(lambda a, b: a + b, [parts[k] * v for k, v in w.items()]) + 0.10 * F.least(one, parts["coverage"] * 8) + 0.10
+    g = g.withColumn("line_alignment", F.lit(1.0)) if alignment is None else g.join(alignment.select(by, "line_alignment"), by, "left").fillna(0.0, ["line_alignment"])
+    total = reduce(lambda a, b: a + b, [parts[k] * v for k, v in w.items()]) + 0.10 * F.least(one, parts["coverage"] * 8) + 0.10 * F.col("line_alignment")
     return g.select(by, F.greatest(F.lit(0.0), F.least(one, total)).alias("total"), *[v.alias(k) for k, v in parts.items()])
 
 

@@ -69,9 +69,9 @@ def tile_mapping(spark, d):
 def restored_boxes(spark, d):
     """Boxes read on turned pages, back on their pages and within them."""
     p = table(spark, d, "part").select("p_partkey", (F.col("p_size") * 7 % 360).cast("double").alias("angle"), F.array(F.lit(-5.0), F.lit(30.0), (F.col("p_size") * 9 + 20).cast("double"), F.lit(80.0)).alias("box"))
-    back = R.restored(G.apply(G.rotation(F.lit(400), F.lit(300), F.col("angle")).inverse, G.box_polygon(F.col("box"))), F.lit(400), F.lit(300))
-    b = G.polygon_box(back)
-    return p.select("p_partkey", *[F.round(b[i], 6).alias(n) for i, n in enumerate(("x0", "y0", "x1", "y1"))])
+    p = p.withColumn("t", G.rotation(F.lit(400), F.lit(300), F.col("angle"))).withColumn("turned", G.apply(F.col("t.inverse"), G.box_polygon(F.col("box"))))
+    b = p.withColumn("back", R.restored(F.col("turned"), F.lit(400), F.lit(300))).withColumn("b", G.polygon_box(F.col("back")))
+    return b.select("p_partkey", *[F.round(F.col("b")[i], 6).alias(n) for i, n in enumerate(("x0", "y0", "x1", "y1"))])
 
 
 def line_alignment(spark, d):

@@ -34,7 +34,7 @@ def csv_lines(pages: DataFrame, page: str, text: str) -> DataFrame:
     rows = pages.select(page, F.posexplode(F.split(F.regexp_replace(text, "^﻿", ""), "\r?\n")).alias("i", "row")).where("trim(row) <> ''")
     parts = F.split("row", ",")
     xy = F.transform(F.slice(parts, 1, 8), lambda v: F.trim(v).try_cast("double"))
-    said = F.trim(F.array_join(F.slice(parts, 9, 10_000), ","))
+    said = F.trim(F.array_join(F.slice(parts, F.lit(9), F.greatest(F.lit(0), F.size(parts) - 8)), ","))
     xs, ys = F.filter(xy, lambda v, i: i % 2 == 0), F.filter(xy, lambda v, i: i % 2 == 1)
     box = F.array(F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys))
     why = F.when(F.size(parts) < 9, "fewer_than_9_values").when(F.exists(xy, lambda v: v.isNull()), "invalid_coordinate").when(said == "", "empty_text").when(~_valid(box), "degenerate_geometry")
