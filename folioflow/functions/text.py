@@ -90,7 +90,11 @@ def last_money(text: Column) -> Column:
 
 
 def money(raw: Column) -> Column:
-    """Decimal with two places, half-even; a lone comma before 2-3 digits is a decimal mark."""
+    """Decimal with two places, half-even; a lone comma before 2-3 digits is a decimal mark.
+
+    Amounts of up to 34 digits before the mark are exact; longer ones, like
+    text that is no number, give NULL.
+    """
     c = F.regexp_replace(raw, MONEY_NOISE, "")
     comma, dot = F.length(c) - F.length(F.replace(c, F.lit(","), F.lit(""))), F.length(c) - F.length(F.replace(c, F.lit("."), F.lit("")))
     comma_last = F.length(F.substring_index(c, ",", -1)) < F.length(F.substring_index(c, ".", -1))
@@ -100,7 +104,9 @@ def money(raw: Column) -> Column:
         .when((comma == 1) & F.length(F.substring_index(c, ",", -1)).isin(2, 3), F.replace(c, F.lit(","), F.lit(".")))
         .otherwise(no_comma)
     )
-    return F.bround(plain.try_cast("decimal(30,10)"), 2).cast("decimal(20,2)")
+    # what follows the third decimal only tells whether that one is exact
+    short = F.regexp_replace(plain, r"(\.\d{3})0*[1-9]\d*$", "$11")
+    return F.bround(short.try_cast("decimal(38,4)"), 2).cast("decimal(38,2)")
 
 
 def loose_decimal(text: Column) -> Column:

@@ -52,6 +52,16 @@ def test_money(spark, raw, rule, loose):
     assert (r.m, r.d) == (rule, loose)
 
 
+@pytest.mark.parametrize("raw,rule", [("12345678901234567890", "12345678901234567890.00"), ("-1,234,567,890,123,456,789.5", "-1234567890123456789.50"), ("9" * 34, "9" * 34 + ".00"), ("9" * 35, None), ("0.1250000000001", "0.13"), ("0.13499999999999", "0.13"), ("0.1250000000000", "0.12")])
+def test_long_amounts(spark, raw, rule):
+    assert spark.createDataFrame([(raw,)], "t string").select(X.money(F.col("t")).cast("string")).first()[0] == rule
+
+
+def test_a_long_amount_is_evidence_like_any_other(spark):
+    r = E.rule_candidates(lines(spark, ["Total: 12345678901234567890", "Tax: 1.00"])).where("field IN ('total_amount', 'tax')").orderBy("line_no").collect()
+    assert [(x.field, x.value) for x in r] == [("total_amount", "12345678901234567890.00"), ("tax", "1.00")]
+
+
 @pytest.mark.parametrize("raw,iso", [("31.12.2024", "2024-12-31"), ("2024/2/31", "2024-02-31"), ("1-2-24", ""), ("2024-13-01", ""), ("no date", ""), ("12 2024", "")])
 def test_dates(spark, raw, iso):
     assert spark.createDataFrame([(raw,)], "t string").select(X.iso_date(F.col("t"))).first()[0] == iso
