@@ -109,21 +109,25 @@ def money(raw: Column) -> Column:
     return F.bround(short.try_cast("decimal(38,4)"), 2).cast("decimal(38,2)")
 
 
-def loose_decimal(text: Column) -> Column:
-    """The number that evaluation reads: a comma before 1-2 digits is a decimal mark."""
+def loose_number(text: Column) -> Column:
+    """The number that evaluation reads, as text: a comma before 1-2 digits is a decimal mark."""
     n = F.replace(F.regexp_extract(text, r"[-+]?\d[\d\s.,]*", 0), F.lit(" "), F.lit(""))
     comma, dot = F.contains(n, F.lit(",")), F.contains(n, F.lit("."))
     comma_last = F.length(F.substring_index(n, ",", -1)) < F.length(F.substring_index(n, ".", -1))
     no = lambda c, ch: F.replace(c, F.lit(ch), F.lit(""))
     many = (F.length(n) - F.length(no(n, "."))) > 1
     head = F.substring(n, F.lit(1), F.length(n) - F.length(F.substring_index(n, ".", -1)) - 1)
-    out = (
+    return (
         F.when(comma & dot, F.when(comma_last, F.replace(no(n, "."), F.lit(","), F.lit("."))).otherwise(no(n, ",")))
         .when(comma, F.when(F.length(F.substring_index(n, ",", -1)).isin(1, 2), F.replace(n, F.lit(","), F.lit("."))).otherwise(no(n, ",")))
         .when(many, F.concat(no(head, "."), F.lit("."), F.substring_index(n, ".", -1)))
         .otherwise(n)
     )
-    return out.try_cast("decimal(30,10)")
+
+
+def loose_decimal(text: Column) -> Column:
+    """:func:`loose_number` with up to 20 digits before the mark and ten after it."""
+    return loose_number(text).try_cast("decimal(30,10)")
 
 
 def iso_date(text: Column) -> Column:

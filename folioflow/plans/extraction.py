@@ -86,7 +86,7 @@ def doc_type_merge(spark: SparkSession, d: str) -> DataFrame:
 def money_normalize(spark: SparkSession, d: str) -> DataFrame:
     """The last amount of every document line, by both readings of the comma."""
     lines = document_lines(spark, d).select("doc_id", "line_no", X.last_money(F.col("text")).alias("raw")).where("raw IS NOT NULL")
-    return lines.select("doc_id", "line_no", "raw", X.money(F.col("raw")).cast("double").alias("rule_amount"), X.loose_decimal(F.col("raw")).cast("double").alias("loose_amount"), X.decimal_mark(F.col("raw")).alias("mark"))
+    return lines.select("doc_id", "line_no", "raw", X.money(F.col("raw")).cast("double").alias("rule_amount"), X.loose_number(F.col("raw")).try_cast("double").alias("loose_amount"), X.decimal_mark(F.col("raw")).alias("mark"))
 
 
 def date_normalize(spark: SparkSession, d: str) -> DataFrame:

@@ -62,6 +62,14 @@ def test_a_long_amount_is_evidence_like_any_other(spark):
     assert [(x.field, x.value) for x in r] == [("total_amount", "12345678901234567890.00"), ("tax", "1.00")]
 
 
+def test_amounts_of_documents_of_any_length(spark, tmp_path):
+    from folioflow.plans.extraction import money_normalize
+
+    spark.createDataFrame([(1, "Ref 12345678901234567890\nSum 1234567890123456789012345.50 EUR\nSum 1.234,56")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = [(r.raw, r.rule_amount, r.loose_amount, r.mark) for r in money_normalize(spark, str(tmp_path)).orderBy("line_no").collect()]
+    assert got == [("12345678901234567890", 12345678901234567890.0, 12345678901234567890.0, None), ("1234567890123456789012345.50 EUR", 1234567890123456789012345.5, 1234567890123456789012345.5, "."), ("1.234,56", 1234.56, 1234.56, ",")]
+
+
 @pytest.mark.parametrize("raw,iso", [("31.12.2024", "2024-12-31"), ("2024/2/31", "2024-02-31"), ("1-2-24", ""), ("2024-13-01", ""), ("no date", ""), ("12 2024", "")])
 def test_dates(spark, raw, iso):
     assert spark.createDataFrame([(raw,)], "t string").select(X.iso_date(F.col("t"))).first()[0] == iso
