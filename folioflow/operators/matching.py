@@ -9,10 +9,11 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from copy import deepcopy
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
@@ -212,8 +213,6 @@ def reading_order(words: DataFrame, page: str) -> DataFrame:
 
 
 def _with(df: DataFrame, **columns: str):
-    from copy import deepcopy
-
     schema = deepcopy(df.schema)
     for name, kind in columns.items():
         schema = schema.add(name, kind)
@@ -314,6 +313,7 @@ def line_groups(words: DataFrame, page: str) -> DataFrame:
     return per_page(words, page, kernel, f"{page} {words.schema[page].dataType.simpleString()}, line_no int, text string, x0 double, y0 double, x1 double, y1 double")
 
 
+@lru_cache(1 << 17)
 def plain(text: str | None) -> str:
     """Folded text without anything but word characters and Thai."""
     return re.sub(r"[^\w฀-๿]+", "", unicodedata.normalize("NFKC", text or "").casefold().replace("i̇", "i"))
@@ -348,83 +348,266 @@ def text_score(source: str, other: str) -> tuple[float, str]:
     return float(s[0]), str(k[0])
 
 
-def ratio_bounds(a: list[str], b: list[str]) -> np.ndarray:
-    """For every pair at least the ratio of matching blocks: the share of characters that both have."""
-    chars = {c: i for i, c in enumerate(sorted(set("".join(a)) | set("".join(b))))}
-
-    def counts(texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), len(chars)), np.int32)
-        for i, t in enumerate(texts):
-            for c in t:
-                out[i, chars[c]] += 1
-        return out
-
-    ca, cb = counts(a), counts(b)
-    na, nb = ca.sum(1), cb.sum(1)
-    return np.stack([2 * np.minimum(x, cb).sum(1) / (n + nb) for x, n in zip(ca, na)])
-
-
 def place_scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """For every pair of boxes their overlap, or their nearness relative to their size, whichever is more."""
-    a, b = a[:, None, :], b[None, :, :]
-    w = np.maximum(0.0, np.minimum(a[..., 2], b[..., 2]) - np.maximum(a[..., 0], b[..., 0]))
-    h = np.maximum(0.0, np.minimum(a[..., 3], b[..., 3]) - np.maximum(a[..., 1], b[..., 1]))
-    size = lambda x: np.maximum(0.0, x[..., 2] - x[..., 0]) * np.maximum(0.0, x[..., 3] - x[..., 1])
-    sa, sb = size(a), size(b)
-    apart = np.hypot((a[..., 0] + a[..., 2]) - (b[..., 0] + b[..., 2]), (a[..., 1] + a[..., 3]) - (b[..., 1] + b[..., 3])) / 2
+    return nearness(tuple(a.T[:, :, None]), tuple(b.T[:, None, :]))
+
+
+def nearness(a: tuple, b: tuple) -> np.ndarray:
+    """:func:`place_scores` of boxes given as arrays of their edges (x0, y0, x1, y1)."""
+    w = np.maximum(0.0, np.minimum(a[2], b[2]) - np.maximum(a[0], b[0]))
+    h = np.maximum(0.0, np.minimum(a[3], b[3]) - np.maximum(a[1], b[1]))
+    sa, sb = (np.maximum(0.0, x[2] - x[0]) * np.maximum(0.0, x[3] - x[1]) for x in (a, b))
+    apart = np.hypot((a[0] + a[2]) - (b[0] + b[2]), (a[1] + a[3]) - (b[1] + b[3])) / 2
     near = 1 - apart / (3 * np.maximum(1.0, (np.sqrt(sa) + np.sqrt(sb)) / 2))
     return np.maximum(w * h / np.maximum(1e-6, sa + sb - w * h), np.maximum(0.0, near))
 
 
-def scored_pairs(ta: list[str], tb: list[str], boxes_a: np.ndarray, boxes_b: np.ndarray, least: float) -> list[tuple]:
-    """(score, i, j, kind) of all pairs that reach ``least``; texts are compared once per distinct pair, and only where they can reach it."""
-    ua, ia = np.unique(np.array(ta, object), return_inverse=True)
-    ub, ib = np.unique(np.array(tb, object), return_inverse=True)
-    # the nearest that any two words of a pair of texts come, row by row so that memory stays small
-    nearest = np.zeros((len(ua), len(ub)))
-    for start in range(0, len(ta), ROWS):
-        place = place_scores(boxes_a[start : start + ROWS], boxes_b)
-        at = np.broadcast_to(ia[start : start + ROWS, None], place.shape)
-        np.maximum.at(nearest, (at, np.broadcast_to(ib, place.shape)), place)
-    held = np.array([[x in y or y in x for y in ub] for x in ua])
-    some = np.array([bool(x) for x in ua])[:, None] & np.array([bool(y) for y in ub])
-    k, j = np.nonzero(some & (held | (0.7 * ratio_bounds(list(ua), list(ub)) + 0.3 * nearest >= least)))
-    scores, kinds = text_scores(ua[k], ub[j])
-    text = np.full(nearest.shape, -np.inf)
-    kind = np.empty(nearest.shape, object)
-    text[k, j], kind[k, j] = scores, kinds
-    out: list[tuple] = []
-    for start in range(0, len(ta), ROWS):
-        rows = ia[start : start + ROWS]
-        score = 0.7 * text[rows][:, ib] + 0.3 * place_scores(boxes_a[start : start + ROWS], boxes_b)
-        i, n = np.nonzero(score >= least)
-        out.extend(zip(score[i, n].tolist(), (start + i).tolist(), n.tolist(), map(str, kind[rows[i], ib[n]])))
-    return out
+#: Rows of whole pages that are aligned in one go, and pairs scored in one pass.
+HELD, PASS = 16_384, 1 << 19
+
+
+@lru_cache(1 << 17)
+def ratio(a: str, b: str) -> float:
+    return SequenceMatcher(None, a, b).ratio()
+
+
+def products(left: np.ndarray, right: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For pairs of groups of so many members each pair of members: (pair, place on the left, place on the right), in passes."""
+    ends = np.cumsum(left * right)
+    for start in range(0, int(ends[-1]) if len(ends) else 0, PASS):
+        flat = np.arange(start, min(start + PASS, int(ends[-1])))
+        pair = np.searchsorted(ends, flat, side="right")
+        at = flat - (ends - left * right)[pair]
+        yield pair, at // right[pair], at % right[pair]
+
+
+def contained(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (shorter, longer) of different texts of which one holds the other, of two characters or more."""
+    place = {t: k for k, t in enumerate(texts)}
+    shorter, longer = [], []
+    for k, t in enumerate(texts):
+        n = len(t)
+        if n * n > 2 * len(texts):
+            held = [x for x, u in enumerate(texts) if 2 <= len(u) < n and u in t]
+        else:
+            held = {place[u] for i in range(n - 1) for j in range(i + 2, n + 1) if (u := t[i:j]) in place and j - i < n}
+        shorter.extend(held)
+        longer.extend([k] * len(held))
+    return np.array(shorter, np.int64), np.array(longer, np.int64)
+
+
+class Words:
+    """One side's words that have a text, on whole pages: their boxes, and where each text of a page occurs."""
+
+    def __init__(self, rows: np.ndarray, pages: np.ndarray, text: np.ndarray, boxes: list[np.ndarray], most: int):
+        self.rows, self.box = rows, [b[rows] for b in boxes]
+        codes = pages[rows] * most + text[rows]
+        self.by = np.argsort(codes, kind="stable")
+        self.codes, self.starts, self.sizes = np.unique(codes[self.by], return_index=True, return_counts=True)
+        self.page, self.text = self.codes // most, self.codes % most
+
+    def boxes(self, at: np.ndarray) -> tuple:
+        return tuple(b[at] for b in self.box)
+
+    def find(self, codes: np.ndarray) -> np.ndarray:
+        """The place of each code, or -1."""
+        at = np.minimum(np.searchsorted(self.codes, codes), max(0, len(self.codes) - 1))
+        return np.where(self.codes[at] == codes, at, -1) if len(self.codes) else np.full(len(codes), -1)
+
+
+class Taken:
+    """Of each word the first pair, in the order of scores, that takes it: its score and the word on the other side."""
+
+    def __init__(self, n: int):
+        self.score, self.other = np.full(n, -np.inf), np.full(n, -1)
+
+    def take(self, own: np.ndarray, other: np.ndarray, score: np.ndarray) -> None:
+        by = np.lexsort((other, score))
+        own, other, score = own[by], other[by], score[by]
+        first = (score > self.score[own]) | ((score == self.score[own]) & (other > self.other[own]))
+        self.score[own[first]], self.other[own[first]] = score[first], other[first]
+
+    def before(self, own: np.ndarray, other: np.ndarray, score: np.ndarray) -> np.ndarray:
+        """Is the word taken before this pair comes?"""
+        return (self.score[own] > score) | ((self.score[own] == score) & (self.other[own] > other))
+
+
+class Alignment:
+    """Pairs of words of whole pages, a and b, as :func:`align` takes them.
+
+    Containments take both sides whatever happens, so they come first.  Other
+    pairs are taken from the best down.  A pair of unlike texts is only compared
+    if the most that it can reach comes before what takes its sides; what was
+    compared is added and the pairs are taken anew, until no such pair is left.
+    """
+
+    def __init__(self, a: Words, b: Words, texts: list[str], least: float):
+        self.a, self.b, self.texts, self.least = a, b, texts, least
+        self.length = np.fromiter(map(len, texts), np.int64, len(texts))
+        self.kept: list[tuple] = []  # pairs of containments: (i, j, score, kind)
+        self.held = [Taken(len(a.rows)), Taken(len(b.rows))]
+        short, long = contained(texts)
+        for one, two, kind in ((a, b, WITHIN), (b, a, AROUND)):
+            self._hold(one, two, short, long, kind)
+        k = b.find(a.codes)
+        self.pairs = self._scored(np.flatnonzero(k >= 0), k[k >= 0], np.ones(int((k >= 0).sum())))
+
+    def _scored(self, k: np.ndarray, m: np.ndarray, text: np.ndarray, free=True) -> tuple:
+        """(i, j, score) of all words of pairs of texts that reach the least score and, if ``free``, aren't taken by containments before."""
+        out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+        for pair, x, y in products(self.a.sizes[k], self.b.sizes[m]):
+            i, j = self.a.by[self.a.starts[k[pair]] + x], self.b.by[self.b.starts[m[pair]] + y]
+            score = 0.7 * text[pair] + 0.3 * nearness(self.a.boxes(i), self.b.boxes(j))
+            fits = score >= self.least
+            if free:
+                fits &= ~self.held[0].before(i, j, score) & ~self.held[1].before(j, i, score)
+            out.append((i[fits], j[fits], score[fits]))
+        return tuple(np.concatenate(c) for c in zip(*out))
+
+    def _hold(self, one: Words, two: Words, short: np.ndarray, long: np.ndarray, kind: str) -> None:
+        """Containments of texts of ``one`` in texts of ``two``."""
+        first, last = (np.searchsorted(long, two.text, side=s) for s in ("left", "right"))
+        holder, _, n = (np.concatenate(c) for c in zip((np.empty(0, np.int64),) * 3, *products(np.ones(len(two.text), np.int64), last - first)))
+        inner = short[first[holder] + n]
+        within = one.find(two.page[holder] * len(self.texts) + inner)
+        found = within >= 0
+        within, holder = within[found], holder[found]
+        share = self.length[one.text[within]] / self.length[two.text[holder]]
+        k, m = (within, holder) if one is self.a else (holder, within)
+        i, j, score = self._scored(k, m, np.minimum(CEILING, share + BONUS), free=False)
+        self.kept.append((i, j, score, kind))
+        self.held[0].take(i, j, score)
+        self.held[1].take(j, i, score)
+
+    def _greedy(self) -> np.ndarray:
+        """Places of the pairs that are taken, from the best down."""
+        i, j, score = self.pairs
+        by = np.lexsort((j, i, score))[::-1]
+        left, right, out = bytearray(len(self.a.rows)), bytearray(len(self.b.rows)), []
+        for n, x, y in zip(by.tolist(), i[by].tolist(), j[by].tolist()):
+            if not left[x] and not right[y]:
+                left[x] = right[y] = 1
+                out.append(n)
+        return np.array(out, np.int64)
+
+    def _alike(self, taken: list[Taken], live: np.ndarray | None) -> tuple:
+        """Pairs of unlike texts that come before what takes their sides and aren't known yet."""
+        a, b, least = self.a, self.b, self.least
+        low, weak = [], []
+        for side, t in zip((a, b), taken):
+            low.append(np.maximum(least, np.minimum.reduceat(t.score[side.by], side.starts)) if len(side.starts) else np.empty(0))
+            n = self.length[side.text]
+            # unlike texts share at most all of the shorter one, which is then the shorter by one
+            weak.append(np.flatnonzero((low[-1] <= 0.7 * (2.0 * n / (2 * n + 1)) + 0.3 + 1e-9) & (True if live is None else np.isin(side.page, live))))
+        first, last = (np.searchsorted(b.page[weak[1]], a.page[weak[0]], side=s) for s in ("left", "right"))
+        ks, ms, most = [], [], []
+        for pair, _, n in products(np.ones(len(weak[0]), np.int64), last - first):
+            k, m = weak[0][pair], weak[1][first[pair] + n]
+            na, nb, need = self.length[a.text[k]], self.length[b.text[m]], np.maximum(low[0][k], low[1][m]) - 1e-9
+            near = (a.text[k] != b.text[m]) & (0.7 * (2.0 * np.minimum(na, nb) / (na + nb)) + 0.3 >= need)
+            k, m, na, nb, need = k[near], m[near], na[near], nb[near], need[near]
+            bound = 2.0 * self._shared(a.text[k], b.text[m]) / (na + nb)
+            near = 0.7 * bound + 0.3 >= need
+            ks.append(k[near]), ms.append(m[near]), most.append(bound[near])
+        out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+        if ks:
+            k, m, bound = map(np.concatenate, (ks, ms, most))
+            unlike = np.fromiter((not (len(x) > 1 and x in y or len(y) > 1 and y in x) for x, y in zip((self.texts[t] for t in a.text[k]), (self.texts[t] for t in b.text[m]))), bool, len(k))
+            k, m, bound = k[unlike], m[unlike], bound[unlike]
+            known = np.unique(self.pairs[0] * len(b.rows) + self.pairs[1])
+            for pair, x, y in products(a.sizes[k], b.sizes[m]):
+                i, j = a.by[a.starts[k[pair]] + x], b.by[b.starts[m[pair]] + y]
+                place = nearness(a.boxes(i), b.boxes(j))
+                high = 0.7 * bound[pair] + 0.3 * place
+                at = np.flatnonzero((high >= least) & (taken[0].score[i] <= high) & (taken[1].score[j] <= high))
+                at = at[~np.isin(i[at] * len(b.rows) + j[at], known)]
+                pair, i, j, place = pair[at], i[at], j[at], place[at]
+                used, of = np.unique(pair, return_inverse=True)
+                text = np.array([ratio(self.texts[a.text[k[p]]], self.texts[b.text[m[p]]]) for p in used.tolist()], float)
+                score = 0.7 * text[of] + 0.3 * place
+                new = (score >= least) & ~taken[0].before(i, j, score) & ~taken[1].before(j, i, score)
+                out.append((i[new], j[new], score[new]))
+        return tuple(np.concatenate(c) for c in zip(*out))
+
+    def _shared(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """At least the number of characters that two texts share: characters are counted in 64 classes."""
+        used, of = np.unique(np.concatenate([x, y]), return_inverse=True)
+        left, right, counts = of[: len(x)], of[len(x) :], np.zeros((len(used), 64), np.int32)
+        for row, t in zip(counts, used.tolist()):
+            codes = np.frombuffer(self.texts[t].encode("utf-32-le", "surrogatepass"), np.uint32)
+            row += np.bincount(codes % 64, minlength=64).astype(np.int32)
+        return np.concatenate([np.empty(0, np.int64), *(np.minimum(counts[left[s : s + ROWS]], counts[right[s : s + ROWS]]).sum(1) for s in range(0, len(x), ROWS))])
+
+    def result(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(i, j, score, kind) of the pairs taken; i and j are rows as they were given."""
+        alike, live = 0, None
+        exact = len(self.pairs[0])
+        while True:
+            best = self._greedy()
+            i, j, score = (c[best] for c in self.pairs)
+            taken = deepcopy(self.held)
+            taken[0].take(i, j, score)
+            taken[1].take(j, i, score)
+            more = self._alike(taken, live)
+            if not len(more[0]):
+                break
+            # only on pages with new pairs can others come free
+            at = np.unique(np.searchsorted(self.a.starts, np.argsort(self.a.by)[more[0]], side="right") - 1)
+            live = np.unique(self.a.page[at])
+            self.pairs = tuple(map(np.concatenate, zip(self.pairs, more)))
+        kinds = np.where(best < exact, EXACT, ALIKE)
+        i, j, score = (np.concatenate([c, *(h[n] for h in self.kept)]) for n, c in enumerate((i, j, score)))
+        kinds = np.concatenate([kinds, *(np.full(len(h[0]), h[3]) for h in self.kept)])
+        return self.a.rows[i], self.b.rows[j], score, kinds
 
 
 def align(reference: DataFrame, other: DataFrame, page: str, least: float = 0.45) -> DataFrame:
     """(page, ref_id, other_id, score, kind): words of one page aligned by text and place.
 
-    From the best score down; a containment may use a side again, any other
-    kind only sides that are still free.  Words without letters or digits
-    align with nothing.
+    From the best score down, of equals from the highest id; a containment may
+    use a side again, any other kind only sides that are still free.  Words
+    without letters or digits align with nothing.
     """
-    def kernel(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        ra, rb = a.to_dict("records"), b.rename(columns=lambda c: c.removeprefix("other_")).to_dict("records")
-        if not ra or not rb:
-            return pd.DataFrame([], columns=[page, "ref_id", "other_id", "score", "kind"])
-        box = lambda rs: np.array([[r[c] for c in BOX] for r in rs], float)
-        found = scored_pairs([plain(r["text"]) for r in ra], [plain(r["text"]) for r in rb], box(ra), box(rb), least)
-        used_a, used_b, out = set(), set(), []
-        for s, i, j, kind in sorted(found, reverse=True):
-            if "contains" in kind or (i not in used_a and j not in used_b):
-                used_a.add(i)
-                used_b.add(j)
-                out.append((key[0], ra[i]["id"], rb[j]["id"], s, kind))
-        return pd.DataFrame(out, columns=[page, "ref_id", "other_id", "score", "kind"])
+    def side(df: DataFrame, own: str, no: str) -> DataFrame:
+        return df.select(F.col(page).alias(page), F.col("id").alias(own), F.lit(None).alias(no), F.lit(own == "ref_id").alias("_ours"), F.col("text"), *[F.col(c).cast("double").alias(c) for c in BOX])
 
+    both = side(reference, "ref_id", "other_id").unionByName(side(other, "other_id", "ref_id"))
     key, ri, oi = reference.schema[page].dataType.simpleString(), reference.schema["id"].dataType.simpleString(), other.schema["id"].dataType.simpleString()
-    # other names on the other side: both may stem from one table
-    named = other.select(*[F.col(c).alias(f"other_{c}") for c in (page, "id", "text", *BOX)])
-    own = spread(reference.select(page, "id", "text", *BOX), page)
-    return own.groupBy(page).cogroup(spread(named, f"other_{page}").groupBy(f"other_{page}")).applyInPandas(kernel, f"{page} {key}, ref_id {ri}, other_id {oi}, score double, kind string")
+    out = both.sparkSession.createDataFrame([], f"{page} {key}, ref_id {ri}, other_id {oi}, score double, kind string").schema
+    arrow = to_arrow_schema(out)
+
+    def aligned(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        keys = t.column(page).combine_chunks()
+        pages = np.zeros(t.num_rows, np.int64)
+        pages[_changes(keys)] = 1
+        pages = np.cumsum(pages)
+        said = pc.fill_null(t.column("text").combine_chunks(), "").dictionary_encode()
+        place: dict[str, int] = {}
+        text = np.array([place.setdefault(plain(w), len(place)) for w in said.dictionary.to_pylist()], np.int64)[said.indices.to_numpy()]
+        texts = list(place)
+        some = text != place.get("", -1)
+        ours = t.column("_ours").to_numpy()
+        boxes = [t.column(c).to_numpy() for c in BOX]
+        a, b = (Words(np.flatnonzero(some & own), pages, text, boxes, len(texts)) for own in (ours, ~ours))
+        if len(a.rows) and len(b.rows):
+            i, j, score, kind = Alignment(a, b, texts, least).result()
+            columns = keys.take(i), t.column("ref_id").combine_chunks().take(i), t.column("other_id").combine_chunks().take(j), score, kind
+            yield from pa.table([pa.array(c, f.type) if isinstance(c, np.ndarray) else c.cast(f.type) for c, f in zip(columns, arrow)], schema=arrow).to_batches(HELD)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows, most = [], 0, HELD
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= most:
+                t = pa.Table.from_batches(held).combine_chunks()
+                if cuts := _changes(t.column(page).combine_chunks()):
+                    yield from aligned(t.slice(0, cuts[-1]))
+                    t = t.slice(cuts[-1])
+                held, rows = t.to_batches(), t.num_rows
+                most = max(HELD, 2 * rows)
+        if rows:
+            yield from aligned(pa.Table.from_batches(held).combine_chunks())
+
+    return spread(both, page).sortWithinPartitions(page, "_ours", "ref_id", "other_id").mapInArrow(run, out)

@@ -194,6 +194,33 @@ def test_alignment_equals_all_pairs(spark):
     assert got == sorted(want) and M.plain("İSTANBUL") == M.plain("istanbul")
 
 
+def test_alignment_of_a_long_page_read_twice(spark):
+    """6,000 words of 3,000 texts, and the same a little off: no pair of unlike texts can come before a word and itself."""
+    import random
+    import time
+
+    r = random.Random(5)
+    voc = ["".join(r.choice("aeinrst") for _ in range(8)) for _ in range(3000)]
+    schema = "p int, id int, text string, x0 double, y0 double, x1 double, y1 double"
+    page = [(1, i, voc[i % 3000], x := 100.0 * (i % 10), y := 20.0 * (i // 10), x + 60, y + 16) for i in range(6000)]
+    shifted = [(p, i, t, *(e + i % 5 for e in box)) for p, i, t, *box in page]
+    a, b = spark.createDataFrame(page, schema), spark.createDataFrame(shifted, schema)
+    began = time.monotonic()
+    got = M.align(a, b, "p").collect()
+    assert time.monotonic() - began < 20
+    assert sorted((x.ref_id, x.other_id) for x in got if x.kind == "exact") == [(i, i) for i in range(6000)]
+    assert {x.kind for x in got} == {"exact"}
+
+
+def test_alignment_of_null_ids_pages_and_texts(spark):
+    schema = "p int, id int, text string, x0 double, y0 double, x1 double, y1 double"
+    a = spark.createDataFrame([(None, 1, "No", 0.0, 0.0, 9.0, 9.0), (1, None, "No", 0.0, 0.0, 9.0, 9.0), (1, 2, None, 0.0, 0.0, 9.0, 9.0)], schema)
+    b = spark.createDataFrame([(None, 7, "No", 0.0, 0.0, 9.0, 9.0), (1, 8, "no.", 0.0, 0.0, 9.0, 9.0), (2, 9, "No", 0.0, 0.0, 9.0, 9.0)], schema)
+    got = {(x.p, x.ref_id, x.other_id, x.score, x.kind) for x in M.align(a, b, "p").collect()}
+    assert got == {(None, 1, 7, 1.0, "exact"), (1, None, 8, 1.0, "exact")}
+    assert M.align(a.limit(0), b, "p").count() == 0 and M.align(a, b.limit(0), "p").count() == 0
+
+
 def test_calibration_and_thresholds(spark):
     df = spark.createDataFrame([(0.95, 1), (0.8, 1), (0.2, 0), (0.1, 0)], "c double, ok int")
     assert abs(K.ece(df, "c", "ok", 4).first().ece - 0.1375) < 1e-12
