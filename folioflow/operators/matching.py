@@ -320,7 +320,7 @@ def plain(text: str | None) -> str:
 
 
 # Names of the ways in which two texts agree, and the bonus and ceiling of a containment.
-EXACT, WITHIN, AROUND, ALIKE = "exact", "ocr_contains_annotation", "annotation_contains_ocr", "similarity"
+EXACT, WITHIN, AROUND, ALIKE = KINDS = "exact", "ocr_contains_annotation", "annotation_contains_ocr", "similarity"
 BONUS, CEILING = 0.25, 0.98
 
 
@@ -382,14 +382,25 @@ def products(left: np.ndarray, right: np.ndarray) -> Iterator[tuple[np.ndarray,
         yield pair, at // right[pair], at % right[pair]
 
 
-def contained(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (shorter, longer) of different texts of which one holds the other, of two characters or more."""
+def contained(texts: list[str], page: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (shorter, longer) of different texts of which one holds the other, of two characters or more.
+
+    ``page`` and ``text`` are the texts of each page: a short text's parts are
+    looked up among all texts, a long one meets the texts of its pages.
+    """
     place = {t: k for k, t in enumerate(texts)}
+    by = np.argsort(page, kind="stable")
+    mates, cuts = text[by], np.searchsorted(page[by], np.arange(int(page.max(initial=-1)) + 2))
+    by = np.argsort(text, kind="stable")
+    homes, ends = page[by], np.searchsorted(text[by], np.arange(len(texts) + 1))
+    size = np.diff(cuts)
+    near = np.add.reduceat(np.append(size[homes], 0), ends[:-1]).tolist() if len(texts) else []
     shorter, longer = [], []
     for k, t in enumerate(texts):
         n = len(t)
-        if n * n > 2 * len(texts):
-            held = [x for x, u in enumerate(texts) if 2 <= len(u) < n and u in t]
+        if n * n > 4 * near[k]:
+            met = {x for h in homes[ends[k] : ends[k + 1]].tolist() for x in mates[cuts[h] : cuts[h + 1]].tolist()}
+            held = [x for x in met if 2 <= len(texts[x]) < n and texts[x] in t]
         else:
             held = {place[u] for i in range(n - 1) for j in range(i + 2, n + 1) if (u := t[i:j]) in place and j - i < n}
         shorter.extend(held)
@@ -445,9 +456,10 @@ class Alignment:
     def __init__(self, a: Words, b: Words, texts: list[str], least: float):
         self.a, self.b, self.texts, self.least = a, b, texts, least
         self.length = np.fromiter(map(len, texts), np.int64, len(texts))
-        self.kept: list[tuple] = []  # pairs of containments: (i, j, score, kind)
+        self.kept: list[tuple] = []  # pairs of containments: (i, j, score, place of the kind in KINDS)
         self.held = [Taken(len(a.rows)), Taken(len(b.rows))]
-        short, long = contained(texts)
+        codes = np.union1d(a.codes, b.codes)
+        short, long = contained(texts, codes // len(texts), codes % len(texts))
         for one, two, kind in ((a, b, WITHIN), (b, a, AROUND)):
             self._hold(one, two, short, long, kind)
         k = b.find(a.codes)
@@ -476,15 +488,23 @@ class Alignment:
         share = self.length[one.text[within]] / self.length[two.text[holder]]
         k, m = (within, holder) if one is self.a else (holder, within)
         i, j, score = self._scored(k, m, np.minimum(CEILING, share + BONUS), free=False)
-        self.kept.append((i, j, score, kind))
+        self.kept.append((i, j, score, KINDS.index(kind)))
         self.held[0].take(i, j, score)
         self.held[1].take(j, i, score)
 
     def _greedy(self) -> np.ndarray:
-        """Places of the pairs that are taken, from the best down."""
+        """Places of the pairs that are taken."""
         i, j, score = self.pairs
         by = np.lexsort((j, i, score))[::-1]
-        left, right, out = bytearray(len(self.a.rows)), bytearray(len(self.b.rows)), []
+        # pairs that are the best of both sides at once, then the others one by one
+        first, other = np.zeros(len(self.a.rows), np.int64), np.zeros(len(self.b.rows), np.int64)
+        back = np.arange(len(by))[::-1]
+        first[i[by][::-1]], other[j[by][::-1]] = back, back
+        best = by[(first[i[by]] == back[::-1]) & (other[j[by]] == back[::-1])]
+        left, right, out = np.zeros(len(self.a.rows), bool), np.zeros(len(self.b.rows), bool), best.tolist()
+        left[i[best]] = right[j[best]] = True
+        by = by[~left[i[by]] & ~right[j[by]]]
+        left, right = bytearray(left), bytearray(right)
         for n, x, y in zip(by.tolist(), i[by].tolist(), j[by].tolist()):
             if not left[x] and not right[y]:
                 left[x] = right[y] = 1
@@ -515,20 +535,22 @@ class Alignment:
             k, m, bound = map(np.concatenate, (ks, ms, most))
             unlike = np.fromiter((not (len(x) > 1 and x in y or len(y) > 1 and y in x) for x, y in zip((self.texts[t] for t in a.text[k]), (self.texts[t] for t in b.text[m]))), bool, len(k))
             k, m, bound = k[unlike], m[unlike], bound[unlike]
-            known = np.unique(self.pairs[0] * len(b.rows) + self.pairs[1])
             for pair, x, y in products(a.sizes[k], b.sizes[m]):
                 i, j = a.by[a.starts[k[pair]] + x], b.by[b.starts[m[pair]] + y]
                 place = nearness(a.boxes(i), b.boxes(j))
                 high = 0.7 * bound[pair] + 0.3 * place
                 at = np.flatnonzero((high >= least) & (taken[0].score[i] <= high) & (taken[1].score[j] <= high))
-                at = at[~np.isin(i[at] * len(b.rows) + j[at], known)]
                 pair, i, j, place = pair[at], i[at], j[at], place[at]
                 used, of = np.unique(pair, return_inverse=True)
                 text = np.array([ratio(self.texts[a.text[k[p]]], self.texts[b.text[m[p]]]) for p in used.tolist()], float)
                 score = 0.7 * text[of] + 0.3 * place
                 new = (score >= least) & ~taken[0].before(i, j, score) & ~taken[1].before(j, i, score)
                 out.append((i[new], j[new], score[new]))
-        return tuple(np.concatenate(c) for c in zip(*out))
+        i, j, score = (np.concatenate(c) for c in zip(*out))
+        if len(i):
+            new = ~np.isin(i * len(b.rows) + j, self.pairs[0] * len(b.rows) + self.pairs[1])
+            i, j, score = i[new], j[new], score[new]
+        return i, j, score
 
     def _shared(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """At least the number of characters that two texts share: characters are counted in 64 classes."""
@@ -540,7 +562,7 @@ class Alignment:
         return np.concatenate([np.empty(0, np.int64), *(np.minimum(counts[left[s : s + ROWS]], counts[right[s : s + ROWS]]).sum(1) for s in range(0, len(x), ROWS))])
 
     def result(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(i, j, score, kind) of the pairs taken; i and j are rows as they were given."""
+        """(i, j, score, place of the kind in KINDS) of the pairs taken; i and j are rows as they were given."""
         alike, live = 0, None
         exact = len(self.pairs[0])
         while True:
@@ -556,9 +578,9 @@ class Alignment:
             at = np.unique(np.searchsorted(self.a.starts, np.argsort(self.a.by)[more[0]], side="right") - 1)
             live = np.unique(self.a.page[at])
             self.pairs = tuple(map(np.concatenate, zip(self.pairs, more)))
-        kinds = np.where(best < exact, EXACT, ALIKE)
+        kinds = np.where(best < exact, KINDS.index(EXACT), KINDS.index(ALIKE)).astype(np.int8)
         i, j, score = (np.concatenate([c, *(h[n] for h in self.kept)]) for n, c in enumerate((i, j, score)))
-        kinds = np.concatenate([kinds, *(np.full(len(h[0]), h[3]) for h in self.kept)])
+        kinds = np.concatenate([kinds, *(np.full(len(h[0]), h[3], np.int8) for h in self.kept)])
         return self.a.rows[i], self.b.rows[j], score, kinds
 
 
@@ -577,37 +599,69 @@ def align(reference: DataFrame, other: DataFrame, page: str, least: float = 0.45
     out = both.sparkSession.createDataFrame([], f"{page} {key}, ref_id {ri}, other_id {oi}, score double, kind string").schema
     arrow = to_arrow_schema(out)
 
-    def aligned(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        keys = t.column(page).combine_chunks()
-        pages = np.zeros(t.num_rows, np.int64)
-        pages[_changes(keys)] = 1
-        pages = np.cumsum(pages)
-        said = pc.fill_null(t.column("text").combine_chunks(), "").dictionary_encode()
-        place: dict[str, int] = {}
-        text = np.array([place.setdefault(plain(w), len(place)) for w in said.dictionary.to_pylist()], np.int64)[said.indices.to_numpy()]
-        texts = list(place)
-        some = text != place.get("", -1)
-        ours = t.column("_ours").to_numpy()
-        boxes = [t.column(c).to_numpy() for c in BOX]
-        a, b = (Words(np.flatnonzero(some & own), pages, text, boxes, len(texts)) for own in (ours, ~ours))
-        if len(a.rows) and len(b.rows):
-            i, j, score, kind = Alignment(a, b, texts, least).result()
-            columns = keys.take(i), t.column("ref_id").combine_chunks().take(i), t.column("other_id").combine_chunks().take(j), score, kind
-            yield from pa.table([pa.array(c, f.type) if isinstance(c, np.ndarray) else c.cast(f.type) for c, f in zip(columns, arrow)], schema=arrow).to_batches(HELD)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, rows, most = [], 0, HELD
-        for batch in batches:
-            held.append(batch)
-            rows += batch.num_rows
-            if rows >= most:
-                t = pa.Table.from_batches(held).combine_chunks()
-                if cuts := _changes(t.column(page).combine_chunks()):
-                    yield from aligned(t.slice(0, cuts[-1]))
-                    t = t.slice(cuts[-1])
-                held, rows = t.to_batches(), t.num_rows
-                most = max(HELD, 2 * rows)
-        if rows:
-            yield from aligned(pa.Table.from_batches(held).combine_chunks())
+        for t in whole_pages(batches, page, HELD):
+            i, j, score, kind = aligned(t, page, least)
+            columns = t.column(page).take(i), t.column("ref_id").take(i), t.column("other_id").take(j), pa.array(score), pa.DictionaryArray.from_arrays(kind, KINDS)
+            yield from pa.table([c.cast(f.type) for c, f in zip(columns, arrow)], schema=arrow).to_batches(HELD)
 
     return spread(both, page).sortWithinPartitions(page, "_ours", "ref_id", "other_id").mapInArrow(run, out)
+
+
+def align_counts(rows: DataFrame, page: str, readings, least: float = 0.45) -> DataFrame:
+    """(page, kind, n): how many pairs :func:`align` finds, of words that are made where they are aligned.
+
+    ``readings`` makes of a table of whole pages the words of both readings:
+    page, _ours (of the reference?), text and box, by id.  No word is
+    shuffled or stored, only ``rows``.
+    """
+    out = rows.sparkSession.createDataFrame([], f"{page} {rows.schema[page].dataType.simpleString()}, kind string, n bigint").schema
+    arrow = to_arrow_schema(out)
+    order = [page, *(c for c in rows.columns if c != page)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_pages(batches, page, HELD // 4):
+            words = readings(t)
+            i, _, _, kind = aligned(words, page, least)
+            keys = words.column(page).combine_chunks()
+            codes, first, n = np.unique(_codes(keys)[i] * len(KINDS) + kind, return_index=True, return_counts=True)
+            columns = keys.take(i[first]), pa.DictionaryArray.from_arrays((codes % len(KINDS)).astype(np.int8), KINDS), pa.array(n)
+            yield from pa.table([c.cast(f.type) for c, f in zip(columns, arrow)], schema=arrow).to_batches()
+
+    return spread(rows, page).sortWithinPartitions(*order).mapInArrow(run, out)
+
+
+def _codes(keys: pa.Array) -> np.ndarray:
+    """A number for each different key, 0 for null."""
+    return pc.fill_null(pc.cast(keys.dictionary_encode().indices, pa.int64()), -1).to_numpy() + 1
+
+
+def whole_pages(batches: Iterator[pa.RecordBatch], page: str, most: int) -> Iterator[pa.Table]:
+    """Sorted rows as tables of whole pages, of about ``most`` rows or one page."""
+    held, rows, wanted = [], 0, most
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= wanted:
+            t = pa.Table.from_batches(held).combine_chunks()
+            if cuts := _changes(t.column(page).combine_chunks()):
+                yield t.slice(0, cuts[-1])
+                t = t.slice(cuts[-1])
+            held, rows = t.to_batches(), t.num_rows
+            wanted = max(most, 2 * rows)
+    if rows:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def aligned(words: pa.Table, page: str, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """:meth:`Alignment.result` of both readings' words (page, _ours, text, box), each reading by id."""
+    pages = _codes(words.column(page).combine_chunks())
+    said = pc.fill_null(words.column("text").combine_chunks(), "").dictionary_encode()
+    place: dict[str, int] = {}
+    text = np.array([place.setdefault(plain(w), len(place)) for w in said.dictionary.to_pylist()], np.int64)[said.indices.to_numpy()]
+    some, ours = text != place.get("", -1), words.column("_ours").to_numpy()
+    boxes = [words.column(c).to_numpy() for c in BOX]
+    a, b = (Words(np.flatnonzero(some & own), pages, text, boxes, len(place)) for own in (ours, ~ours))
+    if not len(a.rows) or not len(b.rows):
+        return tuple(np.empty(0, t) for t in (np.int64, np.int64, float, np.int8))
+    return Alignment(a, b, list(place), least).result()
