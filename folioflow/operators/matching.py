@@ -316,6 +316,8 @@ def line_groups(words: DataFrame, page: str) -> DataFrame:
 @lru_cache(1 << 17)
 def plain(text: str | None) -> str:
     """Folded text without anything but word characters and Thai."""
+    if text and text.isascii() and text.isalnum():
+        return text.lower()
     return re.sub(r"[^\w฀-๿]+", "", unicodedata.normalize("NFKC", text or "").casefold().replace("i̇", "i"))
 
 
@@ -376,10 +378,13 @@ def products(left: np.ndarray, right: np.ndarray) -> Iterator[tuple[np.ndarray,
     """For pairs of groups of so many members each pair of members: (pair, place on the left, place on the right), in passes."""
     ends = np.cumsum(left * right)
     for start in range(0, int(ends[-1]) if len(ends) else 0, PASS):
-        flat = np.arange(start, min(start + PASS, int(ends[-1])))
-        pair = np.searchsorted(ends, flat, side="right")
-        at = flat - (ends - left * right)[pair]
-        yield pair, at // right[pair], at % right[pair]
+        stop = min(start + PASS, int(ends[-1]))
+        lo, hi = np.searchsorted(ends, [start, stop - 1], side="right")
+        bounds = np.minimum(ends[lo : hi + 1], stop)
+        pair = np.repeat(np.arange(lo, hi + 1), np.diff(bounds, prepend=start))
+        at, wide = np.arange(start, stop) - (ends - left * right)[pair], right[pair]
+        row = at // wide
+        yield pair, row, at - row * wide
 
 
 def contained(texts: list[str], page: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -390,17 +395,18 @@ def contained(texts: list[str], page: np.ndarray, text: np.ndarray) -> tuple[np.
     """
     place = {t: k for k, t in enumerate(texts)}
     by = np.argsort(page, kind="stable")
-    mates, cuts = text[by], np.searchsorted(page[by], np.arange(int(page.max(initial=-1)) + 2))
+    mates, cuts = text[by].tolist(), np.searchsorted(page[by], np.arange(int(page.max(initial=-1)) + 2))
     by = np.argsort(text, kind="stable")
     homes, ends = page[by], np.searchsorted(text[by], np.arange(len(texts) + 1))
-    size = np.diff(cuts)
+    size, length = np.diff(cuts), list(map(len, texts))
     near = np.add.reduceat(np.append(size[homes], 0), ends[:-1]).tolist() if len(texts) else []
+    homes, ends, cuts = homes.tolist(), ends.tolist(), cuts.tolist()
     shorter, longer = [], []
     for k, t in enumerate(texts):
-        n = len(t)
-        if n * n > 4 * near[k]:
-            met = {x for h in homes[ends[k] : ends[k + 1]].tolist() for x in mates[cuts[h] : cuts[h + 1]].tolist()}
-            held = [x for x in met if 2 <= len(texts[x]) < n and texts[x] in t]
+        n = length[k]
+        if n * n > 2 * near[k]:
+            met = [x for h in homes[ends[k] : ends[k + 1]] for x in mates[cuts[h] : cuts[h + 1]] if 2 <= length[x] < n and texts[x] in t]
+            held = set(met)
         else:
             held = {place[u] for i in range(n - 1) for j in range(i + 2, n + 1) if (u := t[i:j]) in place and j - i < n}
         shorter.extend(held)
@@ -434,10 +440,11 @@ class Taken:
         self.score, self.other = np.full(n, -np.inf), np.full(n, -1)
 
     def take(self, own: np.ndarray, other: np.ndarray, score: np.ndarray) -> None:
-        by = np.lexsort((other, score))
-        own, other, score = own[by], other[by], score[by]
-        first = (score > self.score[own]) | ((score == self.score[own]) & (other > self.other[own]))
-        self.score[own[first]], self.other[own[first]] = score[first], other[first]
+        before = self.score.copy()
+        np.maximum.at(self.score, own, score)
+        self.other[self.score > before] = -1
+        top = score == self.score[own]
+        np.maximum.at(self.other, own[top], other[top])
 
     def before(self, own: np.ndarray, other: np.ndarray, score: np.ndarray) -> np.ndarray:
         """Is the word taken before this pair comes?"""
@@ -495,15 +502,15 @@ class Alignment:
     def _greedy(self) -> np.ndarray:
         """Places of the pairs that are taken."""
         i, j, score = self.pairs
-        by = np.lexsort((j, i, score))[::-1]
+        first, other = Taken(len(self.a.rows)), Taken(len(self.b.rows))
+        first.take(i, j, score)
+        other.take(j, i, score)
         # pairs that are the best of both sides at once, then the others one by one
-        first, other = np.zeros(len(self.a.rows), np.int64), np.zeros(len(self.b.rows), np.int64)
-        back = np.arange(len(by))[::-1]
-        first[i[by][::-1]], other[j[by][::-1]] = back, back
-        best = by[(first[i[by]] == back[::-1]) & (other[j[by]] == back[::-1])]
+        best = np.flatnonzero((first.score[i] == score) & (first.other[i] == j) & (other.score[j] == score) & (other.other[j] == i))
         left, right, out = np.zeros(len(self.a.rows), bool), np.zeros(len(self.b.rows), bool), best.tolist()
         left[i[best]] = right[j[best]] = True
-        by = by[~left[i[by]] & ~right[j[by]]]
+        by = np.flatnonzero(~left[i] & ~right[j])
+        by = by[np.lexsort((j[by], i[by], score[by]))[::-1]]
         left, right = bytearray(left), bytearray(right)
         for n, x, y in zip(by.tolist(), i[by].tolist(), j[by].tolist()):
             if not left[x] and not right[y]:

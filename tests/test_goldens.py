@@ -212,6 +212,15 @@ def test_alignment_of_a_long_page_read_twice(spark):
     assert {x.kind for x in got} == {"exact"}
 
 
+def test_counts_of_alignments_are_those_of_their_pairs(spark, sf):
+    from folioflow.plans import layout
+
+    words = layout._words(spark, sf)
+    pairs = M.align(words, layout._shifted(words), "doc_id").groupBy("doc_id", "kind").count()
+    counts = layout.align_tokens(spark, sf)
+    assert counts.columns == ["doc_id", "kind", "n"] and sorted(map(tuple, counts.collect())) == sorted(map(tuple, pairs.collect()))
+
+
 def test_alignment_of_null_ids_pages_and_texts(spark):
     schema = "p int, id int, text string, x0 double, y0 double, x1 double, y1 double"
     a = spark.createDataFrame([(None, 1, "No", 0.0, 0.0, 9.0, 9.0), (1, None, "No", 0.0, 0.0, 9.0, 9.0), (1, 2, None, 0.0, 0.0, 9.0, 9.0)], schema)
